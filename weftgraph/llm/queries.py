@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, packing, sharding, urls
+from weftgraph.llm import exact_dedup, language_id, packing, sharding, token_counts, urls
 from weftgraph.llm.oracles import ORACLES as ORACLES
 from weftgraph.sources.tables import table
 
@@ -41,3 +41,17 @@ def op7_length_buckets(spark, sf_dir):
 @_query
 def op8_chunk_recipes(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_trie_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_marginalised_unigrams(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"))
+    fitted = language_id.fit(docs.where(~out))
+    found = language_id.predict(docs.select("doc_id", "text"), fitted)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
