@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, language_id, packing, sharding, token_counts, urls
+from weftgraph.llm import exact_dedup, language_id, media, packing, sharding, token_counts, urls
 from weftgraph.llm.oracles import ORACLES as ORACLES
 from weftgraph.sources.tables import table
 
@@ -55,3 +55,8 @@ def op9_marginalised_unigrams(spark, sf_dir):
     fitted = language_id.fit(docs.where(~out))
     found = language_id.predict(docs.select("doc_id", "text"), fitted)
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_baseline_jpeg(spark, sf_dir):
+    return media.features(media.store(table(spark, sf_dir, "documents")))
