@@ -15,6 +15,7 @@ slice, half a megabyte of text or one text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -38,9 +39,10 @@ _FIRST = [0x05, 0x04, 0x07, 0x03, 0x06, 0x08, 0x02, 0x00, 0x01, 0xF0]
 AC_SYMBOLS = tuple(_FIRST + [s for s in (r * 16 + n for n in range(1, 11) for r in range(16)) if s not in _FIRST])
 
 
-def canonical(bits, symbols) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def canonical(bits: tuple[int, ...], symbols: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Code and code length by symbol."""
-    codes, sizes, code, at = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64), 0, 0
+    codes, sizes, code, at = np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32), 0, 0
     for size, n in enumerate(bits, 1):
         for s in symbols[at : at + n]:
             codes[s], sizes[s] = code, size
@@ -49,8 +51,10 @@ def canonical(bits, symbols) -> tuple[np.ndarray, np.ndarray]:
     return codes, sizes
 
 
-def _lookup(bits, symbols) -> np.ndarray:
+@functools.cache
+def _lookup(table: bytes) -> np.ndarray:
     """By the next 16 bits: symbol * 32 + code length, or 0."""
+    bits, symbols = tuple(table[:16]), tuple(table[16:])
     out, (codes, sizes) = np.zeros(1 << 16, dtype=np.int32), canonical(bits, symbols)
     for s in symbols:
         size = int(sizes[s])
@@ -73,8 +77,12 @@ def grid(blocks: int) -> tuple[int, int]:
     return wide, -(-blocks // wide)
 
 
+#: Bits that a value from -2048 on takes.
+_CATEGORY = np.array([abs(v).bit_length() for v in range(-2048, 2048)], dtype=np.int32)
+
+
 def _categories(values: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(np.abs(values) + 1)).astype(np.int64)
+    return _CATEGORY[values + 2048]
 
 
 def _tokens(values: np.ndarray, symbols: np.ndarray, size: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,18 +90,30 @@ def _tokens(values: np.ndarray, symbols: np.ndarray, size: np.ndarray, codes: np
     return (codes[symbols] << size) | extra, lengths[symbols] + size
 
 
+def _place(byte: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """Sums of parts by byte, which ascends; parts of one byte have no bit in common."""
+    some = np.flatnonzero(part)
+    byte, part = byte[some], part[some]
+    out = np.zeros(n + 4, dtype=np.uint8)
+    if len(byte):
+        heads = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        out[byte[heads]] = np.bitwise_or.reduceat(part, heads)
+    return out[:n]
+
+
 def encode_blocks(coefficients: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scan bytes of all blocks (n x 64) with stuffing and restart markers, and each
     block's end. `last` marks blocks that end a scan; `rst` numbers start anew there."""
     n = len(coefficients)
     dc_codes, dc_sizes = canonical(DC_BITS, DC_SYMBOLS)
     ac_codes, ac_sizes = canonical(AC_BITS, AC_SYMBOLS)
-    dc = coefficients[:, 0].astype(np.int64)
+    dc = coefficients[:, 0].astype(np.int32)
     size = _categories(dc)
     dc_bits, dc_len = _tokens(dc, size, size, dc_codes, dc_sizes)
-    row, col = np.nonzero(coefficients[:, 1:])
-    values = coefficients[row, col + 1].astype(np.int64)
-    before = np.full(len(row), -1, dtype=np.int64)
+    where = np.flatnonzero(np.ascontiguousarray(coefficients[:, 1:]))
+    row, col = (where // 63).astype(np.int32), (where % 63).astype(np.int32)
+    values = coefficients.reshape(-1)[where + row + 1].astype(np.int32)
+    before = np.full(len(row), -1, dtype=np.int32)
     same = row[1:] == row[:-1]
     before[1:][same] = col[:-1][same]
     run = col - before - 1
@@ -105,14 +125,15 @@ def encode_blocks(coefficients: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
     open_end = np.ones(n, dtype=bool)
     open_end[row[col == 62]] = False
     begin = np.concatenate([[0], np.cumsum(per_block + 3)])  # DC, the end of block and the filling have places too
-    value, taken = np.zeros(begin[-1], dtype=np.int64), np.zeros(begin[-1], dtype=np.int64)
+    value, taken = np.zeros(begin[-1], dtype=np.int32), np.zeros(begin[-1], dtype=np.int32)
     value[begin[:-1]], taken[begin[:-1]] = dc_bits, dc_len
     done = np.cumsum(per_token)
-    earlier = np.concatenate([[0], np.cumsum(per_block)])[:-1]
-    at = begin[row] + done - earlier[row]
+    shift = begin[:-1] - np.cumsum(per_block) + per_block
+    at = done + shift[row]
     value[at], taken[at] = bits, length
+    gaps = np.flatnonzero(long_runs)
     for back in range(1, 4):
-        more = at[long_runs >= back] - back
+        more = at[gaps[long_runs[gaps] >= back]] - back
         value[more], taken[more] = ac_codes[0xF0], ac_sizes[0xF0]
     ends = begin[1:] - 2
     value[ends], taken[ends] = np.where(open_end, ac_codes[0], 0), np.where(open_end, ac_sizes[0], 0)
@@ -121,12 +142,11 @@ def encode_blocks(coefficients: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
     fill = -spent % 8
     value[begin[1:] - 1], taken[begin[1:] - 1] = (1 << fill) - 1, fill
     starts = np.cumsum(taken) - taken
-    word = value << (32 - (starts & 7) - taken)
+    word = value << (31 - (starts & 7) - taken)  # bits 30 to 0: 31 from the byte's start
     byte, size_of = starts >> 3, int(starts[-1] + taken[-1]) >> 3
-    raw = np.zeros(size_of, dtype=np.float64)
-    for j in range(4):
-        raw += np.bincount(byte + j, (word >> (24 - 8 * j)) & 255, size_of)[:size_of]
-    raw = raw.astype(np.uint8)
+    raw = _place(byte, word >> 23, size_of)
+    for j, part in ((1, word >> 15), (2, word >> 7), (3, word << 1)):
+        raw += _place(byte + j, part & 255, size_of)
     block_end = np.cumsum((spent + fill) >> 3)
     wide = 1 + (raw == 255).astype(np.int64)
     ending = block_end - 1
@@ -220,7 +240,7 @@ def decode_scans(heads: list[Header], scans: list[bytes]) -> list[np.ndarray]:
     """Coefficients (blocks x 64, in scan order) of files with the same components, tables
     and interval, all restart intervals in step."""
     head = heads[0]
-    luts = {k: _lookup(t[:16], t[16:]) for k, t in head.tables}
+    luts = {k: _lookup(t) for k, t in head.tables}
     pattern = [i for i, c in enumerate(head.components) for _ in range(c[0] * c[1])]
     dc = np.stack([luts[head.components[i][2]] for i in pattern]).reshape(-1)
     ac = np.stack([luts[head.components[i][3]] for i in pattern]).reshape(-1)
