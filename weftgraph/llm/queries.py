@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, language_id, media, packing, sharding, token_counts, urls
+from weftgraph.llm import exact_dedup, language_id, media, near_dedup, packing, sharding, token_counts, urls
 from weftgraph.llm.oracles import ORACLES as ORACLES
 from weftgraph.sources.tables import table
 
@@ -60,3 +60,8 @@ def op9_marginalised_unigrams(spark, sf_dir):
 @_query
 def op10_baseline_jpeg(spark, sf_dir):
     return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op3_prob_min_hash(spark, sf_dir):
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
