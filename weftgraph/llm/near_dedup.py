@@ -151,11 +151,14 @@ def shingle_sets(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this Jaccard similarity or more."""
+    """The pairs (a, b) whose sets have this Jaccard similarity or more.
+
+    Pairs and sets grow with the corpus, so neither is ever broadcast.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(right, "b").join(left, "a").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +172,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     members = reps.join(buckets, "band").select("band", "id", "n", "least", F.when(F.col("size") <= SMALL_BUCKET, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("size") / BLOCK_SIZE))).alias("block"))
     members = materialise(members, "members")
     candidates = members.select("id").distinct()
-    chosen = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
+    chosen = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(candidates.hint("merge"), "id", "left_semi")
     sets = materialise(shingle_sets(chosen).dropDuplicates(["id"]), "sets")
     led = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     known = components(verified(led, sets, threshold))
