@@ -27,4 +27,16 @@ pure AS (SELECT host, shape, branch, round((sum(bad) OVER (PARTITION BY host, br
     / (sum(labelled) OVER (PARTITION BY host, branch) + 4.0::DOUBLE), 6) AS purity FROM branches)
 SELECT page_id, seen.host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, branch, purity
 FROM seen LEFT JOIN pure ON pure.host = seen.host AND pure.shape = seen.shape""",
+    "op6_line_similarity_join": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents),
+w AS (SELECT doc_id, line, list_sort(list_transform(list_distinct(list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '')), lambda x: substr(md5(x), 1, 8) || x)) AS words FROM l),
+c AS (SELECT words, len(words) AS n, min((doc_id, line)) AS first, row_number() OVER () AS i FROM w WHERE len(words) > 0 GROUP BY words),
+x AS (SELECT i, n, first, unnest(words[1:n - CAST(ceil(0.8 * n - 1e-9) AS BIGINT) + 1]) AS token FROM c WHERE n >= 4),
+p AS (SELECT DISTINCT a.i AS i, b.i AS j FROM x a JOIN x b ON a.token = b.token AND a.first > b.first AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+gone AS (SELECT DISTINCT a.words FROM p JOIN c a ON a.i = p.i JOIN c b ON b.i = p.j
+  WHERE 5 * len(list_intersect(a.words, b.words)) >= 4 * len(list_distinct(list_concat(a.words, b.words)))),
+m AS (SELECT w.doc_id, w.line, len(w.words) > 0 AND (gone.words IS NOT NULL OR (w.doc_id, w.line) <> c.first) AS removed
+  FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN gone ON gone.words = w.words)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed,
+  coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (WHERE removed), '') AS removed_lines FROM m GROUP BY doc_id""",
 }

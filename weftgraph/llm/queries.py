@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, language_id, media, near_dedup, packing, sharding, token_counts, urls
+from weftgraph.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sharding, token_counts, urls
 from weftgraph.llm.oracles import ORACLES as ORACLES
 from weftgraph.sources.tables import table
 
@@ -65,3 +65,9 @@ def op10_baseline_jpeg(spark, sf_dir):
 @_query
 def op3_prob_min_hash(spark, sf_dir):
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_line_similarity_join(spark, sf_dir):
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
