@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, sharding, token_counts, urls
+from weftgraph.llm import exact_dedup, language_id, line_dedup, media, near_dedup, packing, segmentations, sharding, token_counts, urls
 from weftgraph.llm.oracles import ORACLES as ORACLES
 from weftgraph.sources.tables import table
 
@@ -71,3 +71,10 @@ def op3_prob_min_hash(spark, sf_dir):
 def op6_line_similarity_join(spark, sf_dir):
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return found.withColumn("removed_lines", F.array_join("removed_lines", ","))
+
+
+@_query
+def op5_gumbel_segmentations(spark, sf_dir):
+    found = segmentations.sample_segmentations(table(spark, sf_dir, "documents"), with_pieces=False)
+    rounded = [F.round(c, 6).alias(c) for c in ("log_probability", "perturbed", "inclusion")]
+    return found.select("doc_id", "rank", "n_pieces", *rounded, "pieces_crc32", "exact")
