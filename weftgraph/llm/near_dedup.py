@@ -13,12 +13,18 @@ paired. In each bucket, every member is paired with the bucket's smallest, and w
 members of its block; a bucket of up to 8 is one block, a larger one is cut into blocks of
 about 6 by a hash that differs from band to band. Pairs whose ends are linked already are
 skipped. A pair is a link when the exact Jaccard similarity of the shingle sets (as 32-bit
-hashes) is 0.8 or more; classes are the connected components of links. Within a large
-bucket a text therefore meets the bucket's smallest and some others in each band it
-shares, not all; pairs within a component are never needed twice.
-
-Null or empty texts, and texts without words, are in classes of their own. Rows that
-repeat a key share its class. An empty table gives no rows; other columns are ignored.
+hashes) is 0.8 or more; classes are the connected components of links.
+
+Where a large bucket still holds more than one component after that, its members go through
+an exact join: shingles are ordered by rarity (frequency over these texts in 65,536 hash
+buckets, graded in powers of four), a text's first n - ceil(0.8 n) + 1 shingles are its
+prefix, and texts of different components that share a prefix shingle and pass the length
+filter are verified. So no link inside a bucket is lost, and pairs within a component are
+never built.
+
+Null or empty texts, texts without words, and rows with a null key are in classes of their
+own. Rows that repeat a key share its class. An empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +44,8 @@ from weftgraph.sources.tables import materialise
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SMALL_BUCKET, BLOCK_SIZE = 8, 6
+#: Hash buckets in which shingle frequencies are counted for the rarity order.
+GRADED = 1 << 16
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -161,15 +169,64 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def prefixes(sets: DataFrame, grades: np.ndarray, threshold: float) -> DataFrame:
+    """Prefix tokens of (id, label, shingles): token, id, label and n. `grades` has one entry per bucket."""
+    shared = sets.sparkSession.sparkContext.broadcast(grades)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((tokens, shared.value[tokens & (GRADED - 1)], owner))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = place < (sizes - np.ceil(sizes * threshold - 1e-9) + 1)[owner]
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][keep]), batch.column("id").take(at), batch.column("label").take(at), pa.array(sizes[owner[keep]])], ["token", "id", "label", "n"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "label", "shingles").mapInArrow(run, f"token int, id {kind}, label {kind}, n bigint")
+
+
+def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
+    """Pairs that may be linked among members of large buckets with several components, by
+    the prefix filter; None if there are no such buckets. Pairs of components that share a token
+    are formed first, so that members of one component never meet each other."""
+    named = members.where("large").join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    named = materialise(named, "named")
+    open_bands = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    texts = materialise(named.join(open_bands.hint("merge"), "band", "left_semi").select("id", "label").distinct(), "unsettled")
+    if not texts.limit(1).count():
+        return None
+    own = materialise(texts.join(sets.hint("merge"), "id"), "unsettled-sets")
+    counts = np.zeros(GRADED)
+    for b, n in own.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(GRADED - 1))).count().collect():
+        counts[b] = n
+    usual = max(1.0, float(np.median(counts[counts > 0]))) if counts.any() else 1.0
+    grades = np.clip(np.floor(np.log(np.maximum(counts, 1) / usual) / np.log(4)), 0, 15).astype(np.int8)
+    tokens = materialise(prefixes(own, grades, threshold), "prefixes")
+    mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    tokens = materialise(tokens.join(mixed.hint("merge"), "token", "left_semi"), "mixed-prefixes")
+    groups = materialise(tokens.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")), "prefix-groups")
+    a, b = groups.alias("a"), groups.alias("b")
+    near = (F.col("a.high") >= threshold * F.col("b.low")) & (F.col("b.high") >= threshold * F.col("a.low"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & near).select("a.token", F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
+    left = tokens.select("token", F.col("label").alias("la"), F.col("id").alias("a"), F.col("n").alias("na"))
+    right = tokens.select("token", F.col("label").alias("lb"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    both = met.join(left, ["token", "la"]).join(right, ["token", "lb"])
+    return both.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+
+
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, class_id (the smallest key of the class), kept (it is that one) and n_shingles."""
     made = materialise(signatures(df, key, text), "signatures")
-    worded = made.where("n > 0")
+    worded = made.where("n > 0 AND id IS NOT NULL")
     texts = materialise(worded.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "texts")
     reps = worded.join(texts.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("bands").alias("band"))
     reps = materialise(reps.dropDuplicates(["id", "band"]), "bands")
     buckets = materialise(reps.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1"), "buckets")
-    members = reps.join(buckets, "band").select("band", "id", "n", "least", F.when(F.col("size") <= SMALL_BUCKET, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("size") / BLOCK_SIZE))).alias("block"))
+    members = reps.join(buckets, "band").select("band", "id", "n", "least", F.when(F.col("size") <= SMALL_BUCKET, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("size") / BLOCK_SIZE))).alias("block"), (F.col("size") > SMALL_BUCKET).alias("large"))
     members = materialise(members, "members")
     candidates = members.select("id").distinct()
     chosen = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(candidates.hint("merge"), "id", "left_semi")
@@ -184,9 +241,12 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     lb = known.select(F.col("node").alias("b"), F.col("label").alias("cb"))
     apart = met.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     whole = components(verified(apart, sets, threshold), known)
+    rest = unsettled_pairs(members, whole, sets, threshold)
+    if rest is not None:
+        whole = components(verified(rest, sets, threshold), whole)
     of_rep = texts.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
     of_rep = materialise(of_rep, "classes")
     found = worded.select("id", "n", "k1", "k2").join(of_rep, ["k1", "k2"]).select("id", "n", "class_id")
-    return found.union(made.where("n = 0").select("id", "n", F.col("id").alias("class_id"))).select(
-        F.col("id").alias(key), "class_id", (F.col("id") == F.col("class_id")).alias("kept"), F.col("n").alias("n_shingles")
+    return found.union(made.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("class_id"))).select(
+        F.col("id").alias(key), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("n").alias("n_shingles")
     )
