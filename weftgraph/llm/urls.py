@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from weftgraph.sources.tables import materialise
 
@@ -49,35 +48,36 @@ def lexical_template(path: Column) -> Column:
     return F.concat_ws("/", F.transform(segments, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 32), F.lit("*")).otherwise(s)))
 
 
+def _totals(df: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """`df` with the sums of labelled and bad over `by`, combined before the shuffle and joined back, so
+    that no group has to fit one task as in a window. `df` is read twice: pass a written table."""
+    sums = df.groupBy(*by).agg(F.sum("labelled").alias(f"{tag}_labelled"), F.sum("bad").alias(f"{tag}_bad"))
+    return df.join(sums, by)
+
+
 def templates(pages: DataFrame, share: float = 0.02, least: int = 3, z: float = 1.96, weight: float = 4.0) -> DataFrame:
     """`pages` has host, shape (lexical template) and bad (1, 0 or null). One row per host
     and shape: template, branch (after merging), labelled, bad and purity."""
     shapes = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    shapes = materialise(shapes, "shapes")
     parts = shapes.select("host", "shape", "n", F.posexplode(F.split("shape", "/")).alias("depth", "segment"))
-    level = parts.groupBy("host", "depth", "segment").agg(F.sum("n").alias("n_segment"))
-    level = level.withColumn("n_depth", F.sum("n_segment").over(W.partitionBy("host", "depth")))
+    level = materialise(parts.groupBy("host", "depth", "segment").agg(F.sum("n").alias("n_segment")), "segments")
+    depths = level.groupBy("host", "depth").agg(F.sum("n_segment").alias("n_depth"))
+    level = level.join(depths, ["host", "depth"])
     level = level.withColumn("fixed", F.when((F.col("n_segment") >= least) & (F.col("n_segment") >= F.col("n_depth") * share), F.col("segment")).otherwise(F.lit("*")))
     rebuilt = (
         parts.join(level.select("host", "depth", "segment", "fixed"), ["host", "depth", "segment"])
         .groupBy("host", "shape")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "fixed"))), lambda s: s["fixed"]), "/").alias("template"))
     )
-    known = shapes.join(rebuilt, ["host", "shape"])
-    at_host = W.partitionBy("host")
-    at_template = W.partitionBy("host", "template")
-    known = (
-        known.withColumn("t_labelled", F.sum("labelled").over(at_template))
-        .withColumn("t_bad", F.sum("bad").over(at_template))
-        .withColumn("h_labelled", F.sum("labelled").over(at_host))
-        .withColumn("h_bad", F.sum("bad").over(at_host))
-    )
+    known = materialise(shapes.join(rebuilt, ["host", "shape"]), "shape-templates")
+    known = _totals(_totals(known, ["host", "template"], "t"), ["host"], "h")
     rate = F.when(F.col("h_labelled") > 0, F.col("h_bad") / F.col("h_labelled"))
     spread = F.sqrt(rate * (1 - rate) / F.col("t_labelled"))
     apart = (F.col("t_labelled") > 0) & (F.abs(F.col("t_bad") / F.col("t_labelled") - rate) > z * spread)
     merged = F.regexp_replace("template", "[^/]+", "*")
     known = known.withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(merged))
-    at_branch = W.partitionBy("host", "branch")
-    known = known.withColumn("b_labelled", F.sum("labelled").over(at_branch)).withColumn("b_bad", F.sum("bad").over(at_branch))
+    known = _totals(materialise(known.select("host", "shape", "template", "branch", "labelled", "bad"), "branches"), ["host", "branch"], "b")
     prior = shapes.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0))).first()[0]
     return known.select(
         "host", "shape", "template", "branch", F.col("b_labelled").alias("labelled"), F.col("b_bad").alias("bad"),
