@@ -31,8 +31,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMMITS = """SELECT DISTINCT l_orderkey AS commit_id, l_partkey AS symbol_id, o_orderdate AS at, o_custkey AS author,
   l_returnflag = 'R' AS is_bug_fix, l_returnflag = 'A' AND l_linestatus = 'F' AS is_revert
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-COMMITS = f"""(SELECT commit_id, symbol_id, at, author, bool_or(is_bug_fix) AS is_bug_fix, bool_or(is_revert) AS is_revert
-  FROM ({_COMMITS}) GROUP BY commit_id, symbol_id, at, author)"""
+COMMITS = f"""(SELECT commit_id, symbol_id, "at", author, bool_or(is_bug_fix) AS is_bug_fix, bool_or(is_revert) AS is_revert
+  FROM ({_COMMITS.replace('AS at', 'AS "at"')}) GROUP BY commit_id, symbol_id, "at", author)"""
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,55 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: event_type to hint type, by the value's last digits, so that all hint types occur.
 HINT_TYPES = ("db_read", "db_write", "network_call", "file_io", "cache_op", "cache_write", "auth_check", "validation", "throws", "catches", "state_mutation", "transaction", "acquires_lock", "concurrency", "serialization", "logging")
-_HINTS = f"""SELECT user_id * 40 + event_id % 40 AS sv_id, event_type AS detail,
-  element_at(array({", ".join(f"'{h}'" for h in HINT_TYPES)}), cast(1 + (event_id * 7 + user_id) % 16 AS INT)) AS hint_type
-FROM events"""
+_HINTS = f"""SELECT l_partkey AS sv_id, concat('r', l_suppkey % 5) AS detail,
+  element_at(array({", ".join(f"'{h}'" for h in HINT_TYPES)}), cast(1 + (l_orderkey * 7 + l_suppkey) % 16 AS INT)) AS hint_type
+FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey % 7 = 0"""
 HINTS = "(" + _HINTS.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT") + ")"
 
 
 def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour hints from events: sv_id, hint_type, detail."""
-    return spark.sql(_HINTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    """Behaviour hints of parts from lineitem: sv_id, hint_type, detail."""
+    return spark.sql(_HINTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+_CONTRACTS = """SELECT p_partkey AS sv_id, concat('(', split_part(p_name, ' ', 1), ', ', split_part(p_name, ' ', 2), ')') AS input_contract,
+  CASE p_size % 3 WHEN 0 THEN 'Result' WHEN 1 THEN 'void' ELSE split_part(p_name, ' ', 2) END AS output_contract,
+  CASE p_size % 4 WHEN 0 THEN 'never' WHEN 1 THEN 'TypeError' ELSE 'Error | RangeError' END AS error_contract,
+  CASE p_size % 5 WHEN 0 THEN 'auth:admin' WHEN 1 THEN 'role(user)' ELSE 'none' END AS security_contract,
+  CASE p_size % 2 WHEN 0 THEN 'none' ELSE 'json' END AS serialization_contract, p_brand AS schema_ref, p_type AS api_ref FROM part"""
+CONTRACTS = f"({_CONTRACTS})"
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract profiles of parts: sv_id, five contract strings, schema_ref, api_ref."""
+    return spark.sql(_CONTRACTS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+_INFERRED = """SELECT src, dst, relation_type, confidence, review_state, valid_to FROM (SELECT a AS src, b AS dst, round(0.25D + ((a * 7 + b * 3) % 70) / 100D, 2) AS confidence,
+  CASE (a + b) % 5 WHEN 0 THEN 'co_changed_with' WHEN 1 THEN 'contract_sibling' ELSE 'near_duplicate_logic' END AS relation_type,
+  CASE (a * b) % 7 WHEN 0 THEN 'rejected' ELSE 'unreviewed' END AS review_state, CASE (a + b) % 11 WHEN 0 THEN 9 END AS valid_to
+FROM (SELECT DISTINCT least(l_partkey, o) AS a, greatest(l_partkey, o) AS b FROM (SELECT l_partkey, l_partkey - l_partkey % 12 + l_suppkey % 12 AS o FROM lineitem WHERE l_linenumber = 1) WHERE l_partkey <> o))"""
+INFERRED = "(" + _INFERRED.replace("0.25D", "0.25::DOUBLE").replace("100D", "100::DOUBLE") + ")"
+
+
+def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred relations between parts of one dozen: src < dst, relation_type, confidence, review_state, valid_to."""
+    return spark.sql(_INFERRED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+_INVARIANTS = """SELECT l_partkey AS sv_id, concat('quantity <= ', cast(l_quantity AS INT)) AS expression, max(round(0.6 + l_discount * 4, 2)) AS strength FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2"""
+INVARIANTS = f"({_INVARIANTS})"
+
+
+def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of parts: sv_id, expression, strength."""
+    return spark.sql(_INVARIANTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+_ARTIFACTS = "SELECT o_orderkey AS artifact, min(o_custkey) AS test, array_sort(collect_set(l_partkey)) AS related FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey"
+ARTIFACTS = "(" + _ARTIFACTS.replace("array_sort(collect_set(l_partkey))", "list_sort(list(DISTINCT l_partkey))") + ")"
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests from urgent orders: artifact, test (its symbol), related (symbols)."""
+    return spark.sql(_ARTIFACTS.replace("FROM orders JOIN lineitem", "FROM {orders} JOIN {lineitem}"), orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
