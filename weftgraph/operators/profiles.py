@@ -114,13 +114,13 @@ IMPACTS = {
 UNKNOWN_IMPACT, FLOOR, REPEAT = 0.05, 0.1, 0.3
 
 
-def _impact(flag: Column) -> Column:
+def impact_of(flag: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in IMPACTS.items() for x in kv]), flag), F.lit(UNKNOWN_IMPACT))
 
 
 def symbol_confidence(flags: Column) -> Column:
     """Product over distinct flags of 1 minus impact, .1 at least."""
-    product = F.aggregate(F.array_distinct(F.coalesce(flags, F.array().cast("array<string>"))), F.lit(1.0), lambda p, f: p * (1 - _impact(f)))
+    product = F.aggregate(F.array_distinct(F.coalesce(flags, F.array().cast("array<string>"))), F.lit(1.0), lambda p, f: p * (1 - impact_of(f)))
     return F.greatest(F.lit(FLOOR), product)
 
 
@@ -143,5 +143,5 @@ def uncertainty_report(symbols: DataFrame, group: str) -> tuple[DataFrame, DataF
     counts = rows.groupBy(group, "source").agg(F.count(F.lit(1)).alias("annotations"), F.countDistinct("sv_id").alias("symbols"))
     from weftgraph.operators.relational import top_of_each
 
-    scored = symbols.where(F.size("uncertainty_flags") > 0).select(group, "sv_id", symbol_confidence(F.col("uncertainty_flags")).alias("confidence"))
+    scored = symbols.where(F.size("uncertainty_flags") > 0).select(group, "sv_id", F.round(symbol_confidence(F.col("uncertainty_flags")), 9).alias("confidence"))
     return counts, top_of_each(scored, [group], [F.col("confidence"), F.col("sv_id")], 20)

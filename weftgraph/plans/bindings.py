@@ -112,3 +112,60 @@ ARTIFACTS = "(" + _ARTIFACTS.replace("array_sort(collect_set(l_partkey))", "list
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests from urgent orders: artifact, test (its symbol), related (symbols)."""
     return spark.sql(_ARTIFACTS.replace("FROM orders JOIN lineitem", "FROM {orders} JOIN {lineitem}"), orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
+#: Lines of code of which bodies are made; no line has a quote of the SQL kind.
+CODE_LINES = (
+    "if (!input) { throw new Error(x) }", "if (user === null) return", "assert(count > check(total))", "console.assert(items.length)", "invariant(state)", "precondition(ready(a))",
+    'if (typeof value === "string") {}', "if (err instanceof TypeError) {}", "Array.isArray(rows)", "Number.isNaN(score)", "isFinite(ratio)", "const a = name ?? fallback", "user?.profile",
+    "if (node !== undefined) {}", "if (head != null) {}", "Math.max(0, Math.min(10, size))", "if (age < 18) {}", "if (list.length >= 3) {}", "Math.max(1, width)", "Math.min(9, height)",
+    "/^[a-z]+$/.test(name)", "code.match(/^[0-9]{4}$/)", '["a", "b"].includes(kind)', "name.trim()", "key.toLowerCase()", "tag.toUpperCase()", 'path.replace("/", sep)', "parseInt(raw, 10)",
+    "parseFloat(raw)", "Number(raw)", "JSON.parse(text)", "id: { type: String, required: true }", "z.string().min(3).email()", "z.number().int().positive()", "yup.string().required().max(20)",
+    "Joi.number().min(1).valid(1, 2)", "const f = (a) => a", "function inner(a) {", "return null;", "return [a, b];", "return function () {};", "this.total = 1", "self.cache.get(key)",
+    "db.findOne(id)", "repo.saveAll(rows)", "axios.get(url)", "fs.readFile(path)", "logger.info(x)", "verifyToken(t)", "mutex.lock()", "events.emit(x)", "this.repo.find(id)",
+    "private repo: Repository;", "this.client = new Client()",
+)
+LANGUAGES = ("typescript", "python", "java", "rust", "ruby", "go")
+
+
+def _braced(text: str) -> str:
+    """Braces doubled, as parametrised SQL wants them."""
+    return text.replace("{", "{{").replace("}", "}}")
+
+
+def _pick(step: int) -> str:
+    lines = ", ".join(f"'{x}'" for x in CODE_LINES)
+    return f"element_at(array({lines}), cast(1 + (p_partkey * {step} + p_size) % {len(CODE_LINES)} AS INT))"
+
+
+_BODIES = f"""SELECT p_partkey AS sv_id, element_at(array({", ".join(f"'{x}'" for x in LANGUAGES)}), cast(1 + p_size % {len(LANGUAGES)} AS INT)) AS language, {_NAME} AS name,
+  CASE p_size % 7 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'method' END AS kind, p_size AS start_line, concat_ws(chr(10), {", ".join(_pick(s) for s in (1, 5, 7, 11, 13))}) AS body FROM part"""
+BODIES = "(" + _BODIES.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT").replace("AS STRING", "AS VARCHAR") + ")"
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of parts: sv_id, language, name, kind, start_line, body."""
+    return spark.sql(_braced(_BODIES).replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+_SIGNATURES = (
+    "get(id: string, depth?: number): Promise<User>", "run(): void", "find(keys: string[], limit: number = 5): User | null", "wrap<T extends Base>(value: T): T", "fail(reason: Error): never",
+    "map(items: Map<string, number>, each: (a: string) => void): boolean", "load(flag: boolean | undefined, last?: Date, path: String)", "kind(): string | number | boolean", "all(rows: Array<Row>, done: Promise<void>): Row[]",
+)
+_SIGNED = f"SELECT p_partkey AS sv_id, element_at(array({', '.join(repr(s) for s in _SIGNATURES)}), cast(1 + p_partkey % {len(_SIGNATURES)} AS INT)) AS signature FROM part"
+SIGNED = "(" + _SIGNED.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT") + ")"
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of parts: sv_id, signature."""
+    return spark.sql(_braced(_SIGNED).replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+_DECORATORS = ("@IsEmail()", "@Min(3)", "@Max(9.5)", "@MinLength(2)", "@Length(1, 30)", "@Length(4)", '@Roles("admin")', "@Authenticated()", '@Column({ type: "varchar", length: 255 })', '@Column({ type: "int" })', '@RateLimit(100, "1m")', "@Validate(x)", "@IsOptional()")
+_DECORATED = f"""SELECT p_partkey AS sv_id, array({", ".join(f"element_at(array({', '.join(repr(d) for d in _DECORATORS)}), cast(1 + (p_partkey * {s}) % {len(_DECORATORS)} AS INT))" for s in (1, 2, 4))}) AS decorators FROM part"""
+DECORATED = "(" + _DECORATED.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT").replace("sv_id, array(", "sv_id, list_value(") + ")"
+
+
+def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decorators of parts: sv_id, decorators."""
+    return spark.sql(_braced(_DECORATED).replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
