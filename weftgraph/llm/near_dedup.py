@@ -16,11 +16,13 @@ skipped. A pair is a link when the exact Jaccard similarity of the shingle sets
 hashes) is 0.8 or more; classes are the connected components of links.
 
 Where a large bucket still holds more than one component after that, its members go through
-an exact join: shingles are ordered by rarity (frequency over these texts in 65,536 hash
-buckets, graded in powers of four), a text's first n - ceil(0.8 n) + 1 shingles are its
-prefix, and texts of different components that share a prefix shingle and pass the length
-filter are verified. So no link inside a bucket is lost, and pairs within a component are
-never built.
+an exact join: shingles are ordered by rarity (frequency over these texts in 2^22 hash
+buckets, graded in powers of two), a text's first n - ceil(0.8 n) + 1 shingles are its
+prefix, and texts of different components that share a prefix shingle are verified if they
+pass the length and position filters and a parity filter: of 256 bits, each holds whether an
+odd number of shingles falls on it, and bits that differ can't outnumber the shingles that
+one side lacks. So no link inside a bucket is lost, and pairs within a component are never
+built.
 
 Null or empty texts, texts without words, and rows with a null key are in classes of their
 own. Rows that repeat a key share its class. An empty table gives no rows; other columns
@@ -44,8 +46,9 @@ from weftgraph.sources.tables import materialise
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SMALL_BUCKET, BLOCK_SIZE = 8, 6
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Hash buckets in which shingle frequencies are counted for the rarity order.
-GRADED = 1 << 16
+GRADED = 1 << 22
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +173,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, grades: np.ndarray, threshold: float) -> DataFrame:
-    """Prefix tokens of (id, label, shingles): token, id, label and n. `grades` has one entry per bucket."""
+    """Prefix tokens of (id, label, shingles): token, id, label, n, pos and four words of parities. `grades` has one entry per bucket."""
     shared = sets.sparkSession.sparkContext.broadcast(grades)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +185,15 @@ def prefixes(sets: DataFrame, grades: np.ndarray, threshold: float) -> DataFrame
             order = np.lexsort((tokens, shared.value[tokens & (GRADED - 1)], owner))
             place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = place < (sizes - np.ceil(sizes * threshold - 1e-9) + 1)[owner]
-            at = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][keep]), batch.column("id").take(at), batch.column("label").take(at), pa.array(sizes[owner[keep]])], ["token", "id", "label", "n"])
+            bits = np.bincount(owner * 256 + ((tokens.astype(np.int64) * 40503) >> 8 & 255), minlength=len(sizes) * 256) & 1
+            words = np.packbits(bits.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).reshape(-1, 4)
+            at = owner[keep]
+            rows = pa.array(at)
+            columns = [pa.array(tokens[order][keep]), batch.column("id").take(rows), batch.column("label").take(rows), pa.array(sizes[at]), pa.array(place[keep]), *(pa.array(words[at, i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "id", "label", "n", "pos", *PARITIES])
 
     kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "label", "shingles").mapInArrow(run, f"token int, id {kind}, label {kind}, n bigint")
+    return sets.select("id", "label", "shingles").mapInArrow(run, f"token int, id {kind}, label {kind}, n bigint, pos bigint, {', '.join(f'{p} bigint' for p in PARITIES)}")
 
 
 def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
@@ -200,11 +207,10 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     if not texts.limit(1).count():
         return None
     own = materialise(texts.join(sets.hint("merge"), "id"), "unsettled-sets")
+    found = own.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(GRADED - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
     counts = np.zeros(GRADED)
-    for b, n in own.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(GRADED - 1))).count().collect():
-        counts[b] = n
-    usual = max(1.0, float(np.median(counts[counts > 0]))) if counts.any() else 1.0
-    grades = np.clip(np.floor(np.log(np.maximum(counts, 1) / usual) / np.log(4)), 0, 15).astype(np.int8)
+    counts[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    grades = np.minimum(np.floor(np.log2(np.maximum(counts, 1))), 60).astype(np.int8)
     tokens = materialise(prefixes(own, grades, threshold), "prefixes")
     mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     tokens = materialise(tokens.join(mixed.hint("merge"), "token", "left_semi"), "mixed-prefixes")
@@ -212,10 +218,14 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     a, b = groups.alias("a"), groups.alias("b")
     near = (F.col("a.high") >= threshold * F.col("b.low")) & (F.col("b.high") >= threshold * F.col("a.low"))
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & near).select("a.token", F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
-    left = tokens.select("token", F.col("label").alias("la"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = tokens.select("token", F.col("label").alias("lb"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    both = met.join(left, ["token", "la"]).join(right, ["token", "lb"])
-    return both.where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+    side = lambda label, name: tokens.select("token", F.col("label").alias(label), F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", *PARITIES)])
+    left, right = met.join(side("la", "a"), ["token", "la"]), side("lb", "b")
+    na, nb = F.col("a_n"), F.col("b_n")
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
+    fits = (na >= threshold * nb) & (nb >= threshold * na) & (F.least(na - F.col("a_pos"), nb - F.col("b_pos")) >= needed) & (apart <= na + nb - 2 * needed)
+    same = (left.token == right.token) & (left.lb == right.lb)
+    return left.join(right, same & fits).select("a", "b").distinct()
 
 
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
