@@ -51,7 +51,8 @@ def behavior_overlap(touches_a: Column, touches_b: Column, purity_a: Column, pur
     none = (F.size(touches_a) == 0) & (F.size(touches_b) == 0)
     bare = F.when((purity_a == purity_b) & (purity_a != "pure"), 0.3).otherwise(0.0)
     full = F.least(F.lit(1.0), T.jaccard(touches_a, touches_b) + F.when(purity_a == purity_b, 0.2).otherwise(0.0))
-    return F.coalesce(F.when(none, bare).otherwise(full), F.lit(0.0))
+    known = purity_a.isNotNull() & purity_b.isNotNull()
+    return F.when(~known, 0.0).when(none, bare).otherwise(full)
 
 
 def contract_overlap(pairs: list[tuple[Column, Column]]) -> Column:
