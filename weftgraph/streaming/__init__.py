@@ -1,0 +1 @@
+"""Streaming versions of analyses that the batch operators make over finished tables."""
