@@ -198,8 +198,8 @@ def prefixes(sets: DataFrame, grades: np.ndarray, threshold: float) -> DataFrame
 
 def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame | None:
     """Pairs that may be linked among members of large buckets with several components, by
-    the prefix filter; None if there are no such buckets. Pairs of components that share a token
-    are formed first, so that members of one component never meet each other."""
+    the prefix filter; None if there are no such buckets. At each token the members of its largest component meet
+    those of the others only, so a family of near copies never meets itself."""
     named = members.where("large").join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     named = materialise(named, "named")
     open_bands = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
@@ -212,20 +212,17 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     counts[found.column("b").to_numpy()] = found.column("n").to_numpy()
     grades = np.minimum(np.floor(np.log2(np.maximum(counts, 1))), 60).astype(np.int8)
     tokens = materialise(prefixes(own, grades, threshold), "prefixes")
-    mixed = tokens.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    tokens = materialise(tokens.join(mixed.hint("merge"), "token", "left_semi"), "mixed-prefixes")
-    groups = materialise(tokens.groupBy("token", "label").agg(F.min("n").alias("low"), F.max("n").alias("high")), "prefix-groups")
-    a, b = groups.alias("a"), groups.alias("b")
-    near = (F.col("a.high") >= threshold * F.col("b.low")) & (F.col("b.high") >= threshold * F.col("a.low"))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & near).select("a.token", F.col("a.label").alias("la"), F.col("b.label").alias("lb"))
-    side = lambda label, name: tokens.select("token", F.col("label").alias(label), F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "pos", *PARITIES)])
-    left, right = met.join(side("la", "a"), ["token", "la"]), side("lb", "b")
-    na, nb = F.col("a_n"), F.col("b_n")
+    groups = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = groups.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", "main")
+    mixed = materialise(tokens.join(largest.hint("merge"), "token"), "mixed-prefixes")
+    a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
-    apart = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES), F.lit(0))
-    fits = (na >= threshold * nb) & (nb >= threshold * na) & (F.least(na - F.col("a_pos"), nb - F.col("b_pos")) >= needed) & (apart <= na + nb - 2 * needed)
-    same = (left.token == right.token) & (left.lb == right.lb)
-    return left.join(right, same & fits).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITIES), F.lit(0))
+    fits = (na >= threshold * nb) & (nb >= threshold * na) & (F.least(na - F.col("a.pos"), nb - F.col("b.pos")) >= needed) & (apart <= na + nb - 2 * needed)
+    once = (F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
+    met = a.join(b.hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & once & fits)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
