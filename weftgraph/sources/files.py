@@ -30,7 +30,7 @@ def walk(spark: SparkSession, root: str, most: int = MAX_FILE_BYTES, known_only:
     inside = F.arrays_overlap(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), F.array(*map(F.lit, SKIP_DIRS)))
     rows = all_files(spark, root).where((F.col("size") <= most) & ~inside).withColumn("language", T.language_of(F.col("path")))
     rows = rows.where("language IS NOT NULL") if known_only else rows
-    return rows.select("path", "size", "language", F.sha2("content", 256).alias("content_hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select("path", "size", "language", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
 
 def discover(files: DataFrame, max_files: int = 20_000) -> DataFrame:
