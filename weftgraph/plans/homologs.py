@@ -214,7 +214,7 @@ def greedy_assignment(spark, sf_dir):
     return N.assign_greedily(_renames(spark, sf_dir))
 
 
-NEAR = f"""e AS (SELECT src, dst FROM {B.EDGES}), nb AS (SELECT node, list_sort(list_filter(list(DISTINCT c), lambda x: x IS NOT NULL)) AS callers, list_sort(list_filter(list(DISTINCT d), lambda x: x IS NOT NULL)) AS callees FROM (
+NEAR = f"""e AS (SELECT src, dst FROM {B.EDGES} WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)), nb AS (SELECT node, list_sort(list_filter(list(DISTINCT c), lambda x: x IS NOT NULL)) AS callers, list_sort(list_filter(list(DISTINCT d), lambda x: x IS NOT NULL)) AS callees FROM (
   SELECT src AS node, NULL AS c, p_name AS d FROM e JOIN part ON p_partkey = dst UNION ALL SELECT dst, p_name, NULL FROM e JOIN part ON p_partkey = src) GROUP BY node)"""
 
 
