@@ -46,7 +46,7 @@ def capsules(targets: DataFrame, nodes: DataFrame, mode: str = "standard", budge
     order = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)])
     cap = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
     wanted = nodes.where(F.col("category").isin(*MODES[mode]))
-    ranked = R.top_of_each(wanted, ["target", "category"], [F.desc("relevance"), F.col("node")], 10**9).where(F.col("rank") <= F.element_at(cap, F.col("category")))
+    ranked = R.top_of_each(wanted, ["target", "category"], [F.desc("relevance"), F.col("node")], max(CATEGORIES.values())).where(F.col("rank") <= F.element_at(cap, F.col("category")))
     sized = F.struct(
         F.element_at(order, F.col("category")).alias("turn"), "rank", "node", "category", _tokens(F.col("code")).alias("code"), _tokens(F.col("summary")).alias("summary"),
         _tokens(F.coalesce("signature", F.substring_index("summary", "\n", 1))).alias("signature"), _tokens(F.col("name")).alias("name"),

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def parts_for(rows: int, least: int, each: int = 1_000_000) -> int:
+    """How many parts give a task about `each` rows at most; never fewer than `least`."""
+    return max(least, -(-rows // each))
+
+
 def gapless_slots(df: DataFrame, group: str, block: Column, order: list[Column], slot: str = "slot") -> DataFrame:
     """Number the rows of each `group` from 0 without gaps, block after block.
 
