@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.slots import gapless_slots
+from weftgraph.operators.slots import gapless_slots, parts_for
 from weftgraph.sources.tables import materialise
 
 #: Up to this length every length has its own bin; beyond, bins grow by 1 %.
@@ -63,14 +63,17 @@ def optimal_boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[i
     return out[::-1]
 
 
-def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, buckets: int = 16, budget: int = 65536, blocks: int = 64, seed: int = 7) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, buckets: int = 16, budget: int = 65536, blocks: int | None = None, seed: int = 7) -> DataFrame:
     """`df` with n_tokens, bucket, boundary, batch (gapless inside its bucket), place
     (inside the batch) and padding. Keep only the columns you need in `df`: it is
-    written once in between."""
+    written once in between. A bucket is ordered in `blocks`, by default one per million rows, 64 at
+    least."""
     df = df.drop("n_tokens", "bucket", "boundary", "batch", "place", "padding")
     rows = materialise(df.withColumn("n_tokens", estimated_tokens() if length is None else length), "lengths")
     histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
-    bounds = optimal_boundaries(sorted((r["top"], r["n"], r["total"]) for r in histogram.collect()), buckets) or [1]
+    bins = sorted((r["top"], r["n"], r["total"]) for r in histogram.collect())
+    bounds = optimal_boundaries(bins, buckets) or [1]
+    blocks = blocks or parts_for(sum(b[1] for b in bins), 64)
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))
     placed = gapless_slots(
         rows.withColumn("bucket", bucket.cast("int")), "bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)), [F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.operators.slots import gapless_slots
+from weftgraph.operators.slots import gapless_slots, parts_for
 from weftgraph.sources.tables import materialise
 
 #: numpy draws from fewer than 10**9 places; beyond it, strata of partitions are dealt one by one.
@@ -44,13 +44,16 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def hypergeometric_shards(df: DataFrame, key: str = "doc_id", shards: int = 40, parts: int = 256, blocks: int = 64, seed: int = 20240501, tie: tuple[str, ...] = ()) -> DataFrame:
+def hypergeometric_shards(df: DataFrame, key: str = "doc_id", shards: int = 40, parts: int | None = None, blocks: int | None = None, seed: int = 20240501, tie: tuple[str, ...] = ()) -> DataFrame:
     """`df` with `shard` (0 to shards-1, sizes one apart at most) and `slot` (gapless from 0).
 
-    Driver and broadcasts hold parts x shards and shards x blocks counts, whatever the
-    input. Raise `parts` and `blocks` with the data so that a block fits a task.
+    `parts` and `blocks` default to one per million rows (256 and 64 at least), so that a block
+    fits a task; the driver and broadcasts hold parts x shards and shards x blocks counts.
     """
     df = df.drop("shard", "slot")
+    n = df.count() if parts is None or blocks is None else 0
+    parts = parts or parts_for(n, 256)
+    blocks = blocks or parts_for(n // shards, 64)
     bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(parts)).cast("int")
     counts = {r["_part"]: r["n"] for r in df.select(bucket.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
