@@ -96,3 +96,24 @@ def test_band_keys(spark):
     keys = spark.createDataFrame([(sig, other)], "a array<long>, b array<long>").select(V.band_keys(F.col("a")), V.band_keys(F.col("b"))).first()
     assert len(keys[0]) == 16 and keys[0][2:15] == keys[1][2:15] and not {keys[0][0], keys[0][1]} & {keys[1][0], keys[1][1]} and keys[0][15] != keys[1][15]
     assert all(-(2**31) <= k < 2**31 for k in keys[0])
+
+
+def test_blanking():
+    from weftgraph.functions.code import blank
+
+    assert blank('a = "x // y" // z\nb') == 'a = "      "     \nb'
+    assert blank("`a ${f(\"q\")} b`") == "`  ${f(\"q\")}  `"
+    assert blank("x = 'it\\'s' # no\n\"\"\"d\ne\"\"\"", "python") == "x = '     '     \n\"\"\" \n \"\"\""
+    for text in ('"open', "/* open", "`open ${x", "", "'a\\"):
+        assert len(blank(text)) == len(text)
+
+
+def test_shapes_ignore_names_and_layout(spark):
+    from weftgraph.functions.code import shape, shape_hash
+
+    a = "function add(first: number, second) { const sum = first + second; // done\n return sum;; }"
+    b = "function  plus(x: number,y){let_me(); }"
+    c = "function plus(x:number,  y) {\n  const z = x + y;\n  return z;\n}"
+    assert shape(a) == shape(c) != shape(b) and '"x y"' in shape('f("x y")')
+    got = spark.createDataFrame([(a,), (c,), (None,)], "t string").select(shape_hash(F.col("t")).alias("h")).collect()
+    assert got[0].h == got[1].h and got[2].h is None

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from weftgraph.functions import code as K
 from weftgraph.plans import bindings as B
 from weftgraph.plans.registry import query
 from weftgraph.sources import extract as X
 from weftgraph.sources import files as D
 from weftgraph.sources import gitlog as G
+from weftgraph.sources.ship import ship
 from weftgraph.sources.tables import table
 from weftgraph.streaming import queries as Q
 
@@ -86,3 +88,17 @@ def stream_windows(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return Q.sessions(events).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+@query("C8_blanked_literals")
+def blanked_literals(spark, sf_dir):
+    """A scan with memory, so there is no SQL twin; tests pin its cases."""
+    ship(spark)
+    return B.bodies(spark, sf_dir).select("sv_id", K.blank_code(F.col("body"), F.col("language")).alias("code"))
+
+
+@query("C9_shape_hash")
+def shape_hash(spark, sf_dir):
+    """Hashes that renaming does not change; tests pin its cases."""
+    ship(spark)
+    return B.bodies(spark, sf_dir).select("sv_id", K.shape_hash(F.col("body")).alias("shape_hash"))
