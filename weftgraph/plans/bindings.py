@@ -62,7 +62,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 HINT_TYPES = ("db_read", "db_write", "network_call", "file_io", "cache_op", "cache_write", "auth_check", "validation", "throws", "catches", "state_mutation", "transaction", "acquires_lock", "concurrency", "serialization", "logging")
 _HINTS = f"""SELECT l_partkey AS sv_id, concat('r', l_suppkey % 5) AS detail,
   element_at(array({", ".join(f"'{h}'" for h in HINT_TYPES)}), cast(1 + (l_orderkey * 7 + l_suppkey) % 16 AS INT)) AS hint_type
-FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey % 7 = 0"""
+FROM lineitem WHERE l_quantity >= 48"""
 HINTS = "(" + _HINTS.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT") + ")"
 
 

@@ -158,11 +158,11 @@ def merged_edges(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Observed calls between parts: a tenth of the static edges, by their numbers."""
-    rows = B.edges(spark, sf_dir).where("(src + dst) % 10 = 3")
+    rows = B.edges(spark, sf_dir).where("confidence >= 0.95")
     return rows.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), (1 + F.col("dst") % 9).alias("calls"), (F.col("src") % 3).cast("string").alias("source"), (F.col("dst") % 28).alias("at"))
 
 
-_PAIRS = f"(SELECT src AS caller, dst AS callee, 1 + dst % 9 AS calls, CAST(src % 3 AS VARCHAR) AS source, dst % 28 AS \"at\" FROM {B.EDGES} WHERE (src + dst) % 10 = 3)"
+_PAIRS = f"(SELECT src AS caller, dst AS callee, 1 + dst % 9 AS calls, CAST(src % 3 AS VARCHAR) AS source, dst % 28 AS \"at\" FROM {B.EDGES} WHERE confidence >= 0.95)"
 
 
 @query("R4_settled_flags", f"WITH o AS {_PAIRS}, s AS (SELECT DISTINCT unnest([caller, callee]) AS sv_id FROM o) SELECT p_partkey AS sv_id, CASE WHEN p_size % 2 = 0 THEN 'parse_error' ELSE '' END AS left_flags FROM part JOIN s ON s.sv_id = p_partkey WHERE p_size % 3 = 0")
@@ -187,7 +187,7 @@ def settled_dispatch(spark, sf_dir):
 
 def _detailed(spark, sf_dir):
     """Traces with routes, types and framework events, from pages and parts."""
-    s = B.symbols(spark, sf_dir).where("sv_id % 5 = 0")
+    s = B.symbols(spark, sf_dir)
     route = F.struct(F.concat(F.lit("/"), "kind").alias("route"), F.col("stable_key").alias("handler_key"), F.when(F.col("line_span") % 2 == 0, "GET").otherwise("").alias("method"))
     seen = F.struct(F.concat(F.lit("self.f"), F.col("sv_id") % 40).alias("expression"), F.col("kind").alias("observed_type"), F.lit("x").alias("location"))
     detail = F.to_json(F.struct(F.col("stable_key").alias("app_key"), F.col("stable_key").alias("middleware_key"), F.col("stable_key").alias("handler_key"), F.lit("/x").alias("route")))
@@ -198,20 +198,20 @@ def _detailed(spark, sf_dir):
 _OWNER = f"ow AS (SELECT stable_key, min(sv_id) AS id FROM {B.SYMBOLS} GROUP BY stable_key)"
 
 
-@query("R5a_dynamic_routes", f"WITH {_OWNER}, r AS (SELECT DISTINCT id, CASE WHEN line_span % 2 = 0 THEN 'GET' ELSE 'ANY' END || ' /' || kind AS v FROM {B.SYMBOLS} s JOIN ow USING (stable_key) WHERE sv_id % 5 = 0 UNION SELECT sv_id, api_ref FROM {B.CONTRACTS} WHERE sv_id IN (SELECT id FROM ow)) SELECT c.sv_id, coalesce((SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM r WHERE r.id = c.sv_id), api_ref) AS refs FROM {B.CONTRACTS} c")
+@query("R5a_dynamic_routes", f"WITH {_OWNER}, r AS (SELECT DISTINCT id, CASE WHEN line_span % 2 = 0 THEN 'GET' ELSE 'ANY' END || ' /' || kind AS v FROM {B.SYMBOLS} s JOIN ow USING (stable_key) UNION SELECT sv_id, api_ref FROM {B.CONTRACTS} WHERE sv_id IN (SELECT id FROM ow)) SELECT c.sv_id, coalesce((SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM r WHERE r.id = c.sv_id), api_ref) AS refs FROM {B.CONTRACTS} c")
 def dynamic_routes(spark, sf_dir):
     traces, symbols = _detailed(spark, sf_dir)
     profiles = B.contracts(spark, sf_dir).select("sv_id", F.array("api_ref").alias("api_contract_refs"))
     return R.apply_routes(profiles, traces, symbols).select("sv_id", F.array_join("api_contract_refs", ",").alias("refs"))
 
 
-@query("R5b_observed_types", f"WITH d AS {_DISPATCH}, o AS (SELECT DISTINCT 'self.f' || (sv_id % 40) AS expression, kind AS t FROM {B.SYMBOLS} WHERE sv_id % 5 = 0) SELECT caller, expression, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT t FROM o WHERE o.expression = d.expression UNION SELECT d.method)), d.method) AS types, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.expression = d.expression) THEN greatest(0.85::DOUBLE, confidence) ELSE confidence END AS confidence FROM d")
+@query("R5b_observed_types", f"WITH d AS {_DISPATCH}, o AS (SELECT DISTINCT 'self.f' || (sv_id % 40) AS expression, kind AS t FROM {B.SYMBOLS}) SELECT caller, expression, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT t FROM o WHERE o.expression = d.expression UNION SELECT d.method)), d.method) AS types, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.expression = d.expression) THEN greatest(0.85::DOUBLE, confidence) ELSE confidence END AS confidence FROM d")
 def observed_types(spark, sf_dir):
     edges = _edges(spark, sf_dir).select("caller", "expression", F.array("method").alias("types"), "confidence")
     return R.apply_types(edges, _detailed(spark, sf_dir)[0]).select("caller", "expression", F.array_join("types", ",").alias("types"), "confidence")
 
 
-@query("R5c_framework_events", f"WITH {_OWNER} SELECT CASE WHEN sv_id % 2 = 0 THEN 'middleware_mount' ELSE 'route_bind' END AS event_type, ow.id AS first_id, CASE WHEN sv_id % 2 = 0 THEN ow.id END AS second_id, CASE WHEN sv_id % 2 = 0 THEN 1.0::DOUBLE END AS strength FROM {B.SYMBOLS} s JOIN ow ON ow.stable_key = s.stable_key WHERE sv_id % 5 = 0")
+@query("R5c_framework_events", f"WITH {_OWNER} SELECT CASE WHEN sv_id % 2 = 0 THEN 'middleware_mount' ELSE 'route_bind' END AS event_type, ow.id AS first_id, CASE WHEN sv_id % 2 = 0 THEN ow.id END AS second_id, CASE WHEN sv_id % 2 = 0 THEN 1.0::DOUBLE END AS strength FROM {B.SYMBOLS} s JOIN ow ON ow.stable_key = s.stable_key")
 def framework_events(spark, sf_dir):
     traces, symbols = _detailed(spark, sf_dir)
     return R.framework_events(traces, symbols).select("event_type", "first_id", "second_id", "strength")

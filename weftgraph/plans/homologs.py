@@ -29,17 +29,17 @@ def hashed(spark, sf_dir):
 
 def _bucket(keys: str, cap: int) -> str:
     on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split())
-    return f"SELECT target, candidate FROM (SELECT a.sv_id AS target, b.sv_id AS candidate, row_number() OVER (PARTITION BY a.sv_id ORDER BY b.sv_id) AS rn FROM h a JOIN h b ON {on} AND a.sv_id <> b.sv_id WHERE a.sv_id < 30) WHERE rn <= {cap}"
+    return f"SELECT target, candidate FROM (SELECT a.sv_id AS target, b.sv_id AS candidate, row_number() OVER (PARTITION BY a.sv_id ORDER BY b.sv_id) AS rn FROM h a JOIN h b ON {on} AND a.sv_id <> b.sv_id WHERE a.sv_id % 50 = 0) WHERE rn <= {cap}"
 
 
-_GRAM = f"""SELECT target, candidate FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sim DESC, candidate) AS rn FROM (SELECT a.sv_id AS target, b.sv_id AS candidate, {jaccard_sql('a.g', 'b.g')} AS sim FROM (SELECT sv_id, {trigrams_sql('name')} AS g FROM h WHERE sv_id < 30) a JOIN (SELECT sv_id, {trigrams_sql('name')} AS g FROM h) b ON a.sv_id <> b.sv_id) WHERE sim >= 0.3) WHERE rn <= 30"""
+_GRAM = f"""SELECT target, candidate FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sim DESC, candidate) AS rn FROM (SELECT a.sv_id AS target, b.sv_id AS candidate, {jaccard_sql('a.g', 'b.g')} AS sim FROM (SELECT sv_id, {trigrams_sql('name')} AS g FROM h WHERE sv_id % 50 = 0) a JOIN (SELECT sv_id, {trigrams_sql('name')} AS g FROM h) b ON a.sv_id <> b.sv_id) WHERE sim >= 0.3) WHERE rn <= 30"""
 CANDIDATES = f"h AS {HASHED}, c AS ({' UNION '.join(_bucket(k, n) for k, n in (('body_hash', 50), ('ast_hash', 50), ('normalized_ast_hash', 50), ('kind purity_class', 30), ('kind', 20)))} UNION {_GRAM})"
 
 
 @query("H1_candidates", f"WITH {CANDIDATES} SELECT target, candidate FROM c")
 def candidates(spark, sf_dir):
     s = hashed(spark, sf_dir)
-    return H.candidates(s.where("sv_id < 30"), s)
+    return H.candidates(s.where("sv_id % 50 = 0"), s)
 
 
 _OVERLAP = f"""coalesce(CASE WHEN pa.sv_id IS NULL OR pb.sv_id IS NULL THEN 0.0 WHEN len(pa.resource_touches) = 0 AND len(pb.resource_touches) = 0 THEN CASE WHEN pa.purity_class = pb.purity_class AND pa.purity_class <> 'pure' THEN 0.3 ELSE 0.0 END ELSE least(1.0, {jaccard_sql('pa.resource_touches', 'pb.resource_touches')} + CASE WHEN pa.purity_class = pb.purity_class THEN 0.2 ELSE 0 END) END, 0.0)::DOUBLE"""
@@ -47,7 +47,7 @@ _FIELDS = ("input", "output", "error", "security")
 _CONTRACT = "(" + " + ".join(f"(ca.{n}_contract = cb.{n}_contract)::INT" for n in _FIELDS) + ")::DOUBLE / 4"
 _TESTS = f"least(1.0, 0.3 * (SELECT count(*) FROM a WHERE list_contains(related, x.target) AND list_contains(related, x.candidate)))::DOUBLE"
 _HISTORY = "coalesce((SELECT max(confidence) FROM i WHERE relation_type = 'co_changed_with' AND ((i.src = x.target AND i.dst = x.candidate) OR (i.dst = x.target AND i.src = x.candidate))), 0.0)::DOUBLE"
-DIMS = f"""{CANDIDATES}, p AS {PROFILES}, k AS {B.CONTRACTS}, a AS (SELECT artifact, related FROM {B.ARTIFACTS} WHERE artifact % 5 = 0), i AS {B.INFERRED},
+DIMS = f"""{CANDIDATES}, p AS {PROFILES}, k AS {B.CONTRACTS}, a AS (SELECT artifact, related FROM {B.ARTIFACTS}), i AS {B.INFERRED},
 d AS (SELECT x.target, x.candidate, {name_sim_sql('ha.name', 'hb.name')} AS semantic, CASE WHEN ha.body_hash = hb.body_hash THEN 1.0 WHEN ha.normalized_ast_hash = hb.normalized_ast_hash THEN 0.9 WHEN ha.ast_hash = hb.ast_hash THEN 0.85 ELSE 0.0 END::DOUBLE AS logic,
   {sig_sim_sql('ha.signature', 'hb.signature')} AS signature, {_OVERLAP} AS behavior, {_CONTRACT} AS contract, {_TESTS} AS tests, {_HISTORY} AS history, ha.kind AS kind_a, hb.kind AS kind_b
  FROM c x JOIN h ha ON ha.sv_id = x.target JOIN h hb ON hb.sv_id = x.candidate LEFT JOIN p pa ON pa.sv_id = x.target LEFT JOIN p pb ON pb.sv_id = x.candidate JOIN k ca ON ca.sv_id = x.target JOIN k cb ON cb.sv_id = x.candidate),
@@ -56,8 +56,8 @@ t AS (SELECT *, CASE WHEN logic >= 0.85 THEN greatest(3, f) ELSE f END AS famili
 
 def scored(spark, sf_dir):
     s = hashed(spark, sf_dir)
-    pairs = H.candidates(s.where("sv_id < 30"), s)
-    artifacts = B.artifacts(spark, sf_dir).where("artifact % 5 = 0")
+    pairs = H.candidates(s.where("sv_id % 50 = 0"), s)
+    artifacts = B.artifacts(spark, sf_dir)
     pairs = H.history(H.test_overlap(pairs, artifacts), B.inferred(spark, sf_dir))
     prof, cont = _profiles(spark, sf_dir), B.contracts(spark, sf_dir)
     for t, key in (("a", "target"), ("b", "candidate")):
@@ -172,7 +172,7 @@ _OLD = f"(SELECT * FROM {HASHED} WHERE sv_id % 3 > 0)"
 
 
 def _snapshots(spark, sf_dir):
-    s = hashed(spark, sf_dir).withColumn("language", F.lit("typescript"))
+    s = hashed(spark, sf_dir).withColumn("language", F.split_part("file_path", F.lit("/"), F.lit(2)))
     new = s.where("sv_id % 2 = 0").withColumn("name", F.when(F.col("sv_id") % 4 == 0, F.concat("name", F.lit("V"))).otherwise(F.col("name")))
     return s.where("sv_id % 3 > 0"), new
 
@@ -190,16 +190,16 @@ def exact_lineage(spark, sf_dir):
     return N.exact_matches(old.select(F.col("sv_id").alias("lineage_id"), "seed", (F.col("sv_id") % 5 > 0).alias("is_alive")), new)
 
 
-RENAMES = f"""o AS (SELECT * FROM {_OLD} WHERE sv_id < 400), n AS (SELECT * FROM {_NEW} WHERE sv_id < 400), w AS (SELECT n.sv_id AS new_id, o.sv_id AS old_id, levenshtein(o.name, n.name) AS distance,
+RENAMES = f"""o AS (SELECT * FROM {_OLD}), n AS (SELECT * FROM {_NEW}), w AS (SELECT n.sv_id AS new_id, o.sv_id AS old_id, levenshtein(o.name, n.name) AS distance,
   CASE WHEN o.normalized_ast_hash = n.normalized_ast_hash THEN 1.0 WHEN o.ast_hash = n.ast_hash THEN 0.85 ELSE 0.0 END::DOUBLE AS normalized_ast, CASE WHEN o.body_hash = n.body_hash THEN 1.0 WHEN o.ast_hash = n.ast_hash THEN 0.7 WHEN o.normalized_ast_hash = n.normalized_ast_hash THEN 0.6 ELSE 0.0 END::DOUBLE AS body_hash,
-  {sig_sim_sql('o.signature', 'n.signature', (0.4, 0.3, 0.3))} AS signature, {name_sim_sql('o.name', 'n.name')} AS name FROM o JOIN n ON o.kind = n.kind WHERE NOT (o.name = n.name AND o.file_path = n.file_path)),
+  {sig_sim_sql('o.signature', 'n.signature', (0.4, 0.3, 0.3))} AS signature, {name_sim_sql('o.name', 'n.name')} AS name FROM o JOIN n ON o.kind = n.kind AND split_part(o.file_path, '/', 2) = split_part(n.file_path, '/', 2) WHERE NOT (o.name = n.name AND o.file_path = n.file_path)),
 r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY distance, old_id) AS rn FROM w), s AS (SELECT *, round(least(1.0, 0.30 * normalized_ast + 0.25 * body_hash + 0.15 * signature + 0.15 * name)::DOUBLE, 9) AS score FROM r WHERE rn <= 200),
 b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) AS best FROM s WHERE score >= 0.45)"""
 
 
 def _renames(spark, sf_dir):
     none = F.array().cast("array<string>")
-    old, new = (s.where("sv_id < 400").withColumn("callers", none).withColumn("callees", none) for s in _snapshots(spark, sf_dir))
+    old, new = (s.withColumn("callers", none).withColumn("callees", none) for s in _snapshots(spark, sf_dir))
     return N.rename_candidates(old, new, ["kind", "language"])
 
 
@@ -381,7 +381,7 @@ def family_name(spark, sf_dir):
     return K.family_names(members, B.symbols(spark, sf_dir), K.family_types(members, _symbols(spark, sf_dir), _profiles(spark, sf_dir)))
 
 
-@query("K8_family_reads", f"{FAM} SELECT family, member FROM mb WHERE family IN (SELECT family FROM mb WHERE member % 100 = 1)")
+@query("K8_family_reads", f"{FAM} SELECT family, member FROM mb WHERE family IN (SELECT family FROM mb WHERE member % 50 = 0)")
 def family_reads(spark, sf_dir):
     members = _families(spark, sf_dir)[0]
-    return K.families_of(members, members.where("member % 100 = 1").select(F.col("member").alias("node"))).select("family", "member")
+    return K.families_of(members, members.where("member % 50 = 0").select(F.col("member").alias("node"))).select("family", "member")

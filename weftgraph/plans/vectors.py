@@ -111,19 +111,19 @@ def lsh_candidates(spark, sf_dir):
     return V.band_pairs(keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b"), "a", "b").where("a < b")
 
 
-_VIEWS = f"(SELECT sv_id, {tokens_sql(split_sql('name'), False)} AS name, string_split(kind, ' ') AS behavior, regexp_extract_all(signature, '[a-z]+') AS signature FROM {B.SYMBOLS} WHERE sv_id < 60)"
+_VIEWS = f"(SELECT sv_id, {tokens_sql(split_sql('name'), False)} AS name, string_split(kind, ' ') AS behavior, regexp_extract_all(signature, '[a-z]+') AS signature FROM {B.SYMBOLS})"
 
 
 @query(
     "T8_multi_view",
     f"""WITH v AS {_VIEWS} SELECT a.sv_id AS a, b.sv_id AS b, round((0.25 * {jaccard_sql('a.name', 'b.name')} + 0.20 * {jaccard_sql('a.signature', 'b.signature')} + 0.15 * {jaccard_sql('a.behavior', 'b.behavior')}) / 0.6, 6) AS similarity
-FROM v a JOIN v b ON a.behavior = b.behavior AND a.sv_id < b.sv_id""",
+FROM v a JOIN v b ON b.sv_id = a.sv_id + 1""",
 )
 def multi_view(spark, sf_dir):
-    s = B.symbols(spark, sf_dir).where("sv_id < 60")
+    s = B.symbols(spark, sf_dir)
     views = s.select("sv_id", T.tokenize_name(F.col("name")).alias("name"), F.split("kind", " ").alias("behavior"), F.regexp_extract_all("signature", F.lit("[a-z]+"), F.lit(0)).alias("signature"))
     a, b = views.alias("a"), views.alias("b")
-    met = a.join(b, (F.col("a.behavior") == F.col("b.behavior")) & (F.col("a.sv_id") < F.col("b.sv_id")))
+    met = a.join(b, F.col("b.sv_id") == F.col("a.sv_id") + 1)
     each = F.array(*[F.struct(F.lit(v).alias("view"), T.jaccard(F.col(f"a.{v}"), F.col(f"b.{v}")).alias("similarity")) for v in ("name", "signature", "behavior")])
     rows = met.select(F.col("a.sv_id").alias("a"), F.col("b.sv_id").alias("b"), F.inline(each))
     return V.multi_view(rows, "a", "b").withColumn("similarity", F.round("similarity", 6))
