@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document's length bucket, batch and place."""
-    lengths = docs.select("doc_id", packing.estimated_tokens().alias("tokens"))
+    lengths = packing.counted_tokens(docs)
     return packing.pack(lengths, length=F.col("tokens")).drop("tokens")
 
 

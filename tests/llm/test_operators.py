@@ -90,6 +90,21 @@ def test_packing(spark, docs):
     assert packing.pack(empty(rows), length=F.col("tokens")).count() == 0
 
 
+def test_long_boundaries_are_optimal(spark):
+    lengths = [3000] * 9 + [3001, 3002, 3010, 3011] + [3012] * 9
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, tokens long")
+    out = packing.pack(rows, length=F.col("tokens"), buckets=2).collect()
+    waste = lambda bound: sum((bound if x <= bound else 3012) - x for x in lengths)
+    assert sum(r.padding for r in out) == min(map(waste, lengths))
+
+
+def test_counted_lengths_are_tokens(docs):
+    counts = Counter((r.doc_id, r.n_tokens + 1) for r in token_counts.count_tokens(docs).collect())
+    lengths = packing.counted_tokens(docs)
+    out = packing.pack(lengths, length=F.col("tokens"), buckets=3, budget=64, blocks=2).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == counts
+
+
 # Exact duplicates
 
 

@@ -39,6 +39,19 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, small):
     assert sorted(r.doc_id for r in got) == sorted(d for d, c in classes.items() if d == c)
 
 
+def test_batches_hold_counted_tokens(spark, small):
+    from weftgraph.llm.token_counts import count_tokens
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = {r.doc_id: r.n_tokens + 1 for r in count_tokens(docs).collect()}
+    for got in (queries.QUERIES["op7_length_buckets"](spark, small), corpus_pipeline.pack(spark, docs, small)):
+        rows, batches = got.collect(), {}
+        assert {r.doc_id: r.n_tokens for r in rows} == want
+        for r in rows:
+            batches.setdefault((r.bucket, r.batch), []).append(want[r.doc_id])
+        assert all(len(b) == 1 or sum(b) <= 65536 for b in batches.values())
+
+
 def test_stages_keep_columns_and_empty_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:

@@ -1,77 +1,87 @@
 """Packing into length buckets whose boundaries minimise padding, with token-budget batches.
 
-A global histogram of lengths (bounded number of bins, all rows counted) feeds a dynamic
-programme that places at most `buckets` upper boundaries so that the padding, the sum of
-boundary minus length, is least. Inside a bucket, rows in a random order form batches of
-as many rows as the token budget holds at the bucket's boundary, at least one.
+A length is operator 1's token count and the end-of-text token (`counted_tokens`). A global
+histogram with one bin per length, over all rows, feeds a dynamic programme that places at
+most `buckets` upper boundaries so that the padding, the sum of boundary minus length, is
+least. Inside a bucket, rows in a random order form batches of as many rows as the token
+budget holds at the bucket's boundary, at least one.
 
-Null or empty texts have length 1 (the end-of-text token); rows longer than the budget
-get batches of their own; an empty table gives no rows. Ties in order are broken by key.
-Columns of the input named like an output column are replaced.
+Distinct lengths number at most the square root of twice the corpus' tokens, so the driver
+holds the histogram. Null or empty texts have the initial mark and the end-of-text token;
+rows longer than the budget get batches of their own; an empty table gives no rows. Ties in
+order are broken by key. Columns of the input named like an output column are replaced.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import token_counts
 from weftgraph.operators.slots import gapless_slots, parts_for
 from weftgraph.sources.tables import materialise
 
-#: Up to this length every length has its own bin; beyond, bins grow by 1 %.
-EXACT_BINS = 2048
+
+def counted_tokens(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and tokens: operator 1's count plus the end-of-text token, for every row."""
+    return token_counts.count_tokens(df, key, text).select(key, (F.col("n_tokens") + 1).alias("tokens"))
 
 
 def estimated_tokens(text: str = "text") -> Column:
-    """A quarter of the UTF-8 bytes, rounded up, plus the end-of-text token."""
+    """A guess without a model, far too low for many texts: a quarter of the UTF-8 bytes, rounded up, plus the end-of-text token."""
     return F.ceil(F.octet_length(F.coalesce(F.col(text), F.lit(""))) / 4).cast("long") + 1
 
 
-def length_bin(length: Column) -> Column:
-    beyond = F.floor(F.log(length / F.lit(EXACT_BINS)) / F.log(F.lit(1.01)))
-    return F.when(length <= EXACT_BINS, length).otherwise(F.lit(EXACT_BINS + 1) + beyond).cast("long")
-
-
 def optimal_boundaries(bins: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """`bins` are (largest length, rows, sum of lengths) in ascending order. The returned
-    upper boundaries are largest lengths of bins and end with the last one."""
+    upper boundaries are largest lengths of bins and end with the last one.
+
+    With a last bucket that begins at bin i, the padding up to bin j is a line in j's length
+    whose slope falls with i, so a lower hull of lines gives each step in linear time.
+    """
     if not bins:
         return []
-    top = np.array([b[0] for b in bins], dtype=np.float64)
-    rows = np.concatenate([[0.0], np.cumsum([b[1] for b in bins])])
-    total = np.concatenate([[0.0], np.cumsum([b[2] for b in bins])])
-    n, best = len(bins), None
-    cuts: list[np.ndarray] = []
-    for k in range(min(buckets, n)):
-        if best is None:
-            best, cut = top * rows[1:] - total[1:], np.zeros(n, dtype=np.int64)
-        else:
-            now, cut = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-            for j in range(k, n):
-                cost = best[k - 1 : j] + top[j] * (rows[j + 1] - rows[k : j + 1]) - (total[j + 1] - total[k : j + 1])
-                i = int(np.argmin(cost))
-                now[j], cut[j] = cost[i], k + i
-            best = now
+    n, top = len(bins), [b[0] for b in bins]
+    rows = list(accumulate((b[1] for b in bins), initial=0))
+    total = list(accumulate((b[2] for b in bins), initial=0))
+    best = [top[j] * rows[j + 1] - total[j + 1] for j in range(n)]
+    cuts = [[0] * n]
+    for k in range(1, min(buckets, n)):
+        now, cut, hull, head = [0] * n, [0] * n, [], 0
+        for j in range(k, n):
+            m, c = rows[j], best[j - 1] + total[j]
+            while len(hull) - head > 1:
+                (m1, c1, _), (m2, c2, _) = hull[-2:]
+                if (c - c1) * (m2 - m1) > (c2 - c1) * (m - m1):
+                    break
+                hull.pop()
+            hull.append((m, c, j))
+            while head + 1 < len(hull) and hull[head + 1][1] - top[j] * hull[head + 1][0] < hull[head][1] - top[j] * hull[head][0]:
+                head += 1
+            m, c, cut[j] = hull[head]
+            now[j] = c - top[j] * m + top[j] * rows[j + 1] - total[j + 1]
+        best = now
         cuts.append(cut)
     out, j = [], n - 1
     for cut in reversed(cuts):
-        out.append(int(top[j]))
-        j = int(cut[j]) - 1
+        out.append(top[j])
+        j = cut[j] - 1
         if j < 0:
             break
     return out[::-1]
 
 
-def pack(df: DataFrame, key: str = "doc_id", length: Column | None = None, buckets: int = 16, budget: int = 65536, blocks: int | None = None, seed: int = 7) -> DataFrame:
+def pack(df: DataFrame, length: Column, key: str = "doc_id", buckets: int = 16, budget: int = 65536, blocks: int | None = None, seed: int = 7) -> DataFrame:
     """`df` with n_tokens, bucket, boundary, batch (gapless inside its bucket), place
     (inside the batch) and padding. Keep only the columns you need in `df`: it is
     written once in between. A bucket is ordered in `blocks`, by default one per million rows, 64 at
     least."""
     df = df.drop("n_tokens", "bucket", "boundary", "batch", "place", "padding")
-    rows = materialise(df.withColumn("n_tokens", estimated_tokens() if length is None else length), "lengths")
-    histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
-    bins = sorted((r["top"], r["n"], r["total"]) for r in histogram.collect())
+    rows = materialise(df.withColumn("n_tokens", length), "lengths")
+    histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    bins = sorted((t, n, t * n) for t, n in zip(*(c.to_pylist() for c in histogram.columns), strict=True))
     bounds = optimal_boundaries(bins, buckets) or [1]
     blocks = blocks or parts_for(sum(b[1] for b in bins), 64)
     bucket = sum((F.when(F.col("n_tokens") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))

@@ -34,7 +34,7 @@ def op4_url_template_tree(spark, sf_dir):
 
 @_query
 def op7_length_buckets(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").select("doc_id", packing.estimated_tokens().alias("tokens"))
+    lengths = packing.counted_tokens(table(spark, sf_dir, "documents"))
     return packing.pack(lengths, length=F.col("tokens")).drop("tokens")
 
 
