@@ -195,6 +195,18 @@ def test_prob_min_hash_estimates(spark):
     assert abs((sig[0] == sig[1]).mean() - len(one & two) / len(one | two)) < 0.05
 
 
+def test_near_copies_with_a_repeated_passage(spark):
+    """Pairs of set similarity 0.8 and more, of which one text repeats some lines."""
+    rows = []
+    for i, (own, passage, times) in enumerate(itertools.product([0, 8], [10, 20, 30], [50, 100] * 6)):
+        base, extra = words(2000 + i, 100, 1000), words(5000 + i, own, 1000)
+        rows.append((2 * i, " ".join(base)))
+        rows.append((2 * i + 1, " ".join(base[:-passage] + base[-passage:] * times + extra)))
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_classes(rows)
+    assert len(set(want.values())) == len(rows) // 2 and {r.doc_id: r.class_id for r in got} == want
+
+
 # Lines
 
 

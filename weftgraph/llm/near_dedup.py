@@ -1,12 +1,12 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
 Words are runs of letters and digits (and all non-ASCII characters), lower-cased; shingles
-are five words (a shorter text is one shingle of all its words). Shingles weigh
-1 + ln(count). ProbMinHash: every shingle is a Poisson process whose rate is its weight
-and whose seed is its hash; arrivals fall on one of 100 registers, each keeping its
-first; a text's shingles stop arriving once they are later than all registers. Two
-registers agree with the probability Jaccard similarity. 20 bands of 5 registers give
-candidates (a pair of similarity 0.8 is missed with probability 0.0004).
+are five words (a shorter text is one shingle of all its words). All shingles of a text
+weigh the same, however often they occur, since links are verified on sets. ProbMinHash:
+every shingle is a Poisson process of rate 1 whose seed is its hash; arrivals fall on one of
+100 registers, each keeping its first; a text's shingles stop arriving once they are later
+than all registers. Two registers agree with the Jaccard similarity of the sets. 20 bands of
+5 registers give candidates (a pair of similarity 0.8 is missed with probability 0.0004).
 
 Texts with the same words collapse to the one of smallest key first, so copies are never
 paired. In each bucket, every member is paired with the bucket's smallest, and with all
@@ -59,7 +59,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class Shingles:
-    """Distinct shingles of the texts of a column: text, hash and weight, sorted by text."""
+    """Distinct shingles of the texts of a column: text and hash, sorted by text."""
 
     def __init__(self, column: pa.Array):
         data, offsets = L.text_buffers(pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string())))
@@ -96,9 +96,7 @@ class Shingles:
         hashes, text = hashes[order], text[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-        at = np.flatnonzero(new)
-        self.text, self.hash = text[at], hashes[at]
-        self.weight = 1 + np.log(np.diff(np.append(at, len(order))))
+        self.text, self.hash = text[new], hashes[new]
         self.sizes = np.bincount(self.text, minlength=n)
 
 
@@ -111,7 +109,7 @@ def prob_min_hash(s: Shingles, registers: int) -> np.ndarray:
         turn += 1
         drawn = L.stir(s.hash[live] + np.uint64(turn * int(_STEP) % 2**64))
         uniform = ((drawn >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        now = time[live] - np.log(uniform) / s.weight[live]
+        now = time[live] - np.log(uniform)
         time[live] = now
         at = s.text[live] * registers + (L.stir(drawn ^ _STEP) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, at, now)
