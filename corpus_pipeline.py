@@ -2,7 +2,8 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that its predecessor
 kept; its result is written as Parquet and read again as the next stage's documents. All
-stages but the last return the columns of `documents`.
+stages but the last return the columns of `documents`, whichever they are. Whole texts are
+read, however long; rows that repeat another are judged like it; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -27,19 +28,20 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to white space, the row of smallest doc_id stays."""
-    gone = materialise(exact_dedup.exact_groups(docs).where("NOT kept").select("doc_id"), "copies")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of texts that are equal up to white space, the row of smallest doc_id stays (see `exact_dedup`: null
+    counts as empty, rows of equal doc_id and text stay or go together, texts of one doc_id are judged apart)."""
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class, the row of smallest doc_id stays."""
-    gone = materialise(near_dedup.near_classes(docs).where("NOT kept").select("doc_id"), "near-copies")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each near-duplicate class, the row of smallest doc_id stays (see `near_dedup`: texts without words
+    and rows without a doc_id stay, rows of equal doc_id and text stay or go together)."""
+    return near_dedup.without_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document's length bucket, batch and place."""
+    """Every remaining document's length bucket, batch and place, one row per document, repeated or not; null
+    and empty texts have two tokens, and a text longer than the budget has a batch of its own."""
     lengths = packing.counted_tokens(docs)
     return packing.pack(lengths, length=F.col("tokens")).drop("tokens")
 

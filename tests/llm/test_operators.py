@@ -116,11 +116,27 @@ def test_exact_dedup(spark, docs):
     want = []
     for t, ids in groups.items():
         least = min((i for i in ids if i is not None), default=None)
-        want += [(str(d), str(least), len(ids), d == least or d is None, hashlib.sha256(t.encode()).hexdigest()) for d in ids]
+        want += [(str(d), str(least), len(ids), d == least, hashlib.sha256(t.encode()).hexdigest()) for d in ids]
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in out) == sorted(want)
     assert exact_dedup.exact_groups(empty(docs)).count() == 0
 
 
+def test_copies_are_judged_by_row(spark):
+    rows = [(1, "A text"), (4, "A  text"), (4, "B unique text"), (None, "A text"), (None, "C"), (None, None), (9, "")]
+    got = exact_dedup.without_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "A text"), (4, "B unique text"), (None, "C"), (9, "")])
+
+
+def test_near_copies_are_judged_by_row(spark):
+    base, other = words(1, 60, 3000), words(2, 60, 3000)
+    rows = [(1, " ".join(base)), (4, " ".join([*base[:-1], "edit"])), (4, " ".join(other)), (4, " ".join(other)), (5, " ".join(["edit", *other[1:]])), (None, " ".join(base)), (6, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = near_dedup.without_near_copies(df).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]])
+    classes = Counter((r.doc_id, r.class_id, r.kept) for r in near_dedup.near_classes(df).collect())
+    assert classes == Counter({(1, 1, True): 1, (4, 1, False): 1, (4, 4, True): 2, (5, 4, False): 1, (None, None, True): 1, (6, 6, True): 2})
+
+
 def test_chunks_cover_texts(spark):
     rng = random.Random(4)
     text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(8000))
@@ -350,6 +366,17 @@ def test_language_of_awkward_rows(spark, docs):
     assert {r.lang_pred for r in language_id.predict(docs.select("doc_id", "text"), none).collect()} == {"und"}
 
 
+def test_probabilities_of_each_language_sum_to_one(spark):
+    fitted = language_id.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "le chat 漢", "fr")], "doc_id long, text string, lang string"))
+    vocab = L.vocabulary(L.default_model())
+    assert np.allclose(np.exp(fitted.log_p).sum(axis=0), 1) and fitted.log_p.shape == (vocab.size, 2)
+
+
+def test_rows_without_a_key_are_not_held_out(spark):
+    got = spark.createDataFrame([(None,), (1,), (4,)], "k long").select("k", language_id.held_out(F.col("k")).alias("h")).collect()
+    assert {r.k: r.h for r in got} == {None: False} | {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in (1, 4)}
+
+
 def test_forward_sums_all_segmentations(spark):
     import pyarrow as pa
 

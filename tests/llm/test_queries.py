@@ -62,8 +62,8 @@ def test_stages_keep_columns_and_empty_tables(spark, small):
 
 
 def test_pipeline_of_null_rows(spark, small):
-    rows = spark.createDataFrame([(None, "some words here", None, None, None), (5, None, "en", "s", 0), (6, "1 2 3", "en", "s", 5), (7, "some words here", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = spark.createDataFrame([(None, "some words here", None, None, None), (5, None, "en", "s", 0), (6, "1 2 3", "en", "s", 5), (7, "some words here", "en", "s", 15), (None, "quite another text", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     docs = rows
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, small)
-    assert sorted(str(r.doc_id) for r in docs.collect()) == ["7", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == [("7", "some words here"), ("None", "quite another text")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.sources.tables import materialise
+from weftgraph.sources.tables import materialise, release
 
 
 def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -27,7 +27,10 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         heard = materialise(heard, "labels")
         upper = heard.select(F.col("node").alias("up"), F.col("label").alias("top"))
         jumped = heard.join(upper, heard.label == upper.up, "left").select("node", "was", F.least("label", F.coalesce("top", "label")).alias("label"))
-        now = materialise(jumped, "labels")
+        jumped = materialise(jumped, "labels")
+        release(now, heard)
+        now = jumped
         if not now.where("was <> label").limit(1).count():
+            release(both)
             return now.select("node", "label")
         now = now.select("node", "label")

@@ -8,8 +8,10 @@ identifiers are verified: if one stood for chunks with two SHA-256 digests, the
 would serve as identifiers instead. Texts are equal when their ordered lists of identifiers
 are. Only these lists, about a fiftieth of the text, are moved.
 
-Null counts as an empty text, and all empty texts form one group. Rows that repeat a
-doc_id stay or go together. An empty table gives no rows; other columns are ignored.
+Null counts as an empty text, and all empty texts form one group. Rows with the same doc_id and
+equal texts stay or go together; rows with the same doc_id and other texts are judged apart. A row
+without a doc_id stays only if no row of its group has one; keep_id is null then. An empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +30,17 @@ def normalised(text: Column) -> Column:
 
 
 def recipes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, SHA-256 of the whole normalised text, identifiers and digests of its chunks in order."""
-    chunks = F.regexp_extract_all("_norm", F.lit(CHUNK), F.lit(0))
+    """id, raw (a hash of the text as it is), SHA-256 of the whole normalised text, identifiers and digests of its chunks in order."""
+    chunks = F.regexp_extract_all("norm", F.lit(CHUNK), F.lit(0))
     return (
-        df.select(F.col(key), normalised(F.col(text)).alias("_norm"))
-        .select(key, F.sha2("_norm", 256).alias("text_sha256"), chunks.alias("_chunks"))
-        .select(key, "text_sha256", F.transform("_chunks", lambda c: F.xxhash64(c)).alias("ids"), F.transform("_chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"))
+        df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("raw"), normalised(F.col(text)).alias("norm"))
+        .select("id", "raw", F.sha2("norm", 256).alias("text_sha256"), chunks.alias("chunks"))
+        .select("id", "raw", "text_sha256", F.transform("chunks", lambda c: F.xxhash64(c)).alias("ids"), F.transform("chunks", lambda c: F.unhex(F.sha2(c, 256))).alias("digests"))
     )
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: key, keep_id, group_size, kept, text_sha256.
+def judged(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per input row: id, raw, keep_id, group_size, kept, text_sha256.
 
     Groups are found by a hash aggregation that combines before its shuffle; the join back
     is against groups of two or more, written before, so that a hot group's rows are split
@@ -48,12 +50,22 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pairs = made.select(F.explode(F.arrays_zip("ids", "digests")).alias("c")).select("c.ids", "c.digests")
     doubtful = pairs.groupBy("ids").agg(F.min("digests").alias("a"), F.max("digests").alias("b")).where("a <> b")
     name = "digests" if doubtful.limit(1).count() else "ids"
-    rows = made.select(key, "text_sha256", F.col(name).alias("recipe"))
-    groups = materialise(rows.groupBy("recipe").agg(F.min(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
+    rows = made.select("id", "raw", "text_sha256", F.col(name).alias("recipe"))
+    groups = materialise(rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
+    keep = F.coalesce("keep_id", "id")
     return rows.join(groups, "recipe", "left").select(
-        key,
-        F.coalesce("keep_id", key).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col(key) == F.col("keep_id"), F.lit(True)).alias("kept"),
-        "text_sha256",
+        "id", "raw", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
+
+
+def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: key, keep_id, group_size, kept, text_sha256."""
+    return judged(df, key, text).select(F.col("id").alias(key), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` that stay. A row is known by its key and its text's hash, so that another text of the same key stays."""
+    gone = materialise(judged(df, key, text).where("NOT kept").select("id", "raw"), "copies")
+    named = gone.withColumnsRenamed({"id": "_gone_id", "raw": "_gone_raw"}).distinct()
+    same = df[key].eqNullSafe(named["_gone_id"]) & (F.xxhash64(df[text]) == named["_gone_raw"])
+    return df.join(named.hint("merge"), same, "left_anti")

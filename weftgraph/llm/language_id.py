@@ -7,8 +7,10 @@ pre-tokens of the sum over all segmentations, by the forward algorithm on a trie
 block's distinct pre-tokens. The score is the posterior of the winner under equal priors.
 
 Texts that are null or have no letter get "und" and score 0. Ties go to the language
-first in alphabetical order. Without labels every text gets "und". One row per input row;
-an empty table gives no rows; only the columns named are read.
+first in alphabetical order. Without labels every text gets "und". A row without a key is
+not held out. One row per input row, repeated or not; an empty table gives no rows; input
+columns named like output columns are replaced. Very long texts are scored whole, a block
+of pre-tokens at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from weftgraph.llm import lattice as L
 from weftgraph.sources.ship import ship
@@ -28,7 +31,7 @@ SCALE = 2.0
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 class LanguageModel:
@@ -70,7 +73,6 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     for r in pieces.groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
         seen[r["piece"], names.index(r["lang"])] += r["n"]
     log_p = np.log((seen + alpha) / (seen.sum(axis=0) + alpha * vocab.size)) if names else seen
-    log_p[vocab.byte_ids] = -10.0
     return LanguageModel(names, log_p)
 
 
@@ -81,17 +83,18 @@ def predict(df: DataFrame, fitted: LanguageModel, key: str = "doc_id", text: str
     df = df.drop("lang_pred", "score")
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((fitted.languages, fitted.log_p))
-    kept = [c for c in df.columns]
+    kept = df.columns
+    place = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p = shared.value
         vocab = L.vocabulary(path)
         weights = np.exp(log_p + SCALE * vocab.lengths[:, None])
-        for batch in L.slices(batches, text):
+        for batch in L.slices(batches, names_in[place]):
             n = batch.num_rows
             total = np.zeros((n, max(1, len(names))))
             if names:
-                tokens = L.Pretokens(*L.text_buffers(batch.column(text)))
+                tokens = L.Pretokens(*L.text_buffers(batch.column(place)))
                 for block in tokens.blocks():
                     trie = L.Trie(vocab, tokens, block)
                     words = np.log(np.maximum(trie.forward(weights)[trie.terminal], 1e-300)) - SCALE * trie.sizes[:, None]
@@ -100,11 +103,13 @@ def predict(df: DataFrame, fitted: LanguageModel, key: str = "doc_id", text: str
                         total[:, k] += np.bincount(tokens.text[block], words[:, k], n)
             best = total.argmax(axis=1)
             score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            known = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool) & bool(names)
+            known = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool) & bool(names)
             said = np.where(known, np.array([*names, "und"], dtype=object)[np.where(known, best, -1)], "und")
-            columns = [batch.column(c) for c in kept] + [pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))]
+            columns = [*batch.columns[:-1], pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string", "score double"])
-    return df.withColumn("_letters", letters).mapInArrow(run, schema)
+    # Inside, columns go by place, so that none of the input's names can clash.
+    names_in = [f"c{i}" for i in range(len(kept))]
+    schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names_in, strict=True)), letters.alias("letters")).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ Characters that are no piece are spelt by byte pieces.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -17,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK, CUT = 0xFF, 40
-#: Bytes of text that one step of the numpy code takes at a time.
-BLOCK = 3_000_000
+#: Bytes of text that one step of the numpy code takes at a time; a worker needs some hundred times as much.
+BLOCK = 1_000_000
 _RNG = np.random.default_rng(17)
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -149,7 +150,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that texts take `limit` bytes at most, or are one text."""
+    """The batches cut so that texts take `limit` bytes at most, or are one text. At the end, a
+    worker gives the memory that it freed back, since it lives on beside the next stages."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -159,6 +161,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Pretokens:

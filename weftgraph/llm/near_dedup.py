@@ -25,8 +25,8 @@ one side lacks. So no link inside a bucket is lost, and pairs within a component
 built.
 
 Null or empty texts, texts without words, and rows with a null key are in classes of their
-own. Rows that repeat a key share its class. An empty table gives no rows; other columns
-are ignored.
+own. Rows that repeat a key are judged by their texts; those with the same text share a class, and
+class_id is the smallest key of the class. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm import lattice as L
 from weftgraph.llm.components import components
 from weftgraph.sources.ship import ship
-from weftgraph.sources.tables import materialise
+from weftgraph.sources.tables import materialise, release
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 SMALL_BUCKET, BLOCK_SIZE = 8, 6
@@ -200,8 +200,10 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     those of the others only, so a family of near copies never meets itself."""
     named = members.where("large").join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     named = materialise(named, "named")
-    open_bands = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    # Written before the join, so that its exchanges are the join's own and a hot band can be split.
+    open_bands = materialise(named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band"), "open-bands")
     texts = materialise(named.join(open_bands.hint("merge"), "band", "left_semi").select("id", "label").distinct(), "unsettled")
+    release(named, open_bands)
     if not texts.limit(1).count():
         return None
     own = materialise(texts.join(sets.hint("merge"), "id"), "unsettled-sets")
@@ -210,9 +212,12 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     counts[found.column("b").to_numpy()] = found.column("n").to_numpy()
     grades = np.minimum(np.floor(np.log2(np.maximum(counts, 1))), 60).astype(np.int8)
     tokens = materialise(prefixes(own, grades, threshold), "prefixes")
+    release(texts, own)
     groups = tokens.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = groups.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", "main")
+    largest = materialise(largest, "main-labels")
     mixed = materialise(tokens.join(largest.hint("merge"), "token"), "mixed-prefixes")
+    release(tokens, largest)
     a, b = mixed.where("label <> main").alias("a"), mixed.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (na + nb) - 1e-9)
@@ -223,8 +228,8 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, thre
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, class_id (the smallest key of the class), kept (it is that one) and n_shingles."""
+def classes(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """id, class_id, kept and n, for a table in which a key stands for one text."""
     made = materialise(signatures(df, key, text), "signatures")
     worded = made.where("n > 0 AND id IS NOT NULL")
     texts = materialise(worded.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "texts")
@@ -233,6 +238,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     buckets = materialise(reps.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1"), "buckets")
     members = reps.join(buckets, "band").select("band", "id", "n", "least", F.when(F.col("size") <= SMALL_BUCKET, F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("size") / BLOCK_SIZE))).alias("block"), (F.col("size") > SMALL_BUCKET).alias("large"))
     members = materialise(members, "members")
+    release(reps, buckets)
     candidates = members.select("id").distinct()
     chosen = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(candidates.hint("merge"), "id", "left_semi")
     sets = materialise(shingle_sets(chosen).dropDuplicates(["id"]), "sets")
@@ -249,9 +255,37 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     rest = unsettled_pairs(members, whole, sets, threshold)
     if rest is not None:
         whole = components(verified(rest, sets, threshold), whole)
+    release(members, sets)
     of_rep = texts.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
     of_rep = materialise(of_rep, "classes")
     found = worded.select("id", "n", "k1", "k2").join(of_rep, ["k1", "k2"]).select("id", "n", "class_id")
-    return found.union(made.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("class_id"))).select(
-        F.col("id").alias(key), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("n").alias("n_shingles")
-    )
+    found = found.union(made.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("class_id")))
+    return found.select("id", "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "n")
+
+
+def repeats(df: DataFrame, key: str) -> bool:
+    return bool(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count())
+
+
+def by_row(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """`classes` of a table in which a key may stand for several texts: id has the key and the text's hash."""
+    row = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("raw")))
+    return classes(df.select(row.alias("row"), F.col(text).alias("text")), "row", "text", threshold)
+
+
+def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """key, class_id (the smallest key of the class), kept (it is that one) and n_shingles."""
+    if repeats(df, key):
+        found = by_row(df, key, text, threshold)
+        return found.select(F.col("id.key").alias(key), F.col("class_id.key").alias("class_id"), "kept", F.col("n").alias("n_shingles"))
+    return classes(df, key, text, threshold).select(F.col("id").alias(key), "class_id", "kept", F.col("n").alias("n_shingles"))
+
+
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df` that are the first of their class. Where keys repeat, a row is known by its key and its text's
+    hash, so that another text of the same key stays."""
+    if not repeats(df, key):
+        gone = materialise(classes(df, key, text, threshold).where("NOT kept").select(F.col("id").alias("_gone")), "near-copies")
+        return df.join(gone.hint("merge"), df[key] == gone["_gone"], "left_anti")
+    gone = materialise(by_row(df, key, text, threshold).where("NOT kept").select(F.col("id.key").alias("_gone"), F.col("id.raw").alias("_raw")).distinct(), "near-copies")
+    return df.join(gone.hint("merge"), (df[key] == gone["_gone"]) & (F.xxhash64(df[text]) == gone["_raw"]), "left_anti")
