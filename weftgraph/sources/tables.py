@@ -56,10 +56,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files of a table that `materialise` returned, once nothing reads it any more."""
-    spark, tag = df.sparkSession, "/weft-"
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if tag in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `materialise` returned, once nothing reads them any more."""
+    for df in tables:
+        spark, tag = df.sparkSession, "/weft-"
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if tag in path:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
