@@ -253,14 +253,30 @@ def test_lines_match_brute_force(spark):
     assert {(r.id, r.line) for r in marks if r.removed} == brute_lines(rows)
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
+@pytest.mark.parametrize("limit", [0, 32_000_000])
 def test_lines_of_awkward_rows(spark, docs, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
-    assert out[1].n_lines == 1 and out[1].n_removed == 0 and out[4].n_removed == 2 and out[8].n_removed == 1 and out[3].n_removed == 0 and out[6].n_lines == 2 and out[None].n_removed == 0
+    assert out[1].n_lines == 1 and out[1].n_removed == 0 and out[4].n_removed == 1 and out[8].n_removed == 1 and out[3].n_removed == 0 and out[6].n_lines == 2 and out[None].n_removed == 0
     assert line_dedup.line_dedup(empty(docs)).count() == 0
-    kept = {r.doc_id: r.text for r in line_dedup.without_lines(docs.where("doc_id in (1, 3, 8)"), line_dedup.line_dedup(docs)).collect()}
-    assert kept == {1: None, 3: "a b c d e f g", 8: ""}
+
+
+def test_lines_of_repeated_ids(spark):
+    rows = [(1, "a b c d e"), (4, "a b c d e\nx"), (4, "unique words of its own"), (4, "unique words of its own"), (None, "a b c d e"), (7, None), (8, "x\n\nq r s t u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("clash"), "line": F.lit(1)}).repartition(2)
+    got = Counter((r.doc_id, r.text) for r in line_dedup.without_lines(df).collect())
+    assert got == Counter([(1, "a b c d e"), (4, "x"), rows[2], rows[3], rows[4], (7, None), (8, "\nq r s t u")])
+    once = line_dedup.without_lines(df.where("doc_id in (1, 8)")).collect()
+    assert {r.doc_id: r.text for r in once} == {1: "a b c d e", 8: "x\n\nq r s t u"} and once[0].asDict().keys() == {"doc_id", "text", "id", "line"}
+
+
+def test_sets_that_meet_in_one_hash_are_apart(spark):
+    """Two hashes with states of their own: where the first is made equal, the second still tells sets apart."""
+    sets = spark.createDataFrame([([1, 2, 3, 4],), ([5, 6, 7, 8],)], "tokens array<bigint>")
+    seconds = sets.select(F.xxhash64(F.lit(line_dedup.OTHER_STATE), "tokens").alias("k2"), F.xxhash64("tokens").alias("k1")).collect()
+    # A second hash that went on from the first would be a function of it.
+    chained = sets.select(F.xxhash64("tokens", F.lit(line_dedup.OTHER_STATE)).alias("k")).collect()
+    assert len({r.k2 for r in seconds} | {r.k1 for r in seconds} | {r.k for r in chained}) == 6
 
 
 # URLs
