@@ -294,8 +294,81 @@ def test_urls(spark):
 def test_bad_templates_are_rejected(spark):
     rows = [("h", f"ads/{i}", 1) for i in range(30)] + [("h", f"news/{i}", 0) for i in range(30)] + [("h", "ads/77", None), ("h", "news/77", None)]
     pages = spark.createDataFrame(rows, "host string, path string, bad int").withColumn("shape", urls.lexical_template(F.col("path")))
-    got = {r["template"]: r.purity for r in urls.templates(pages).collect()}
-    assert got["ads/*"] > 0.9 and got["news/*"] < 0.1
+    got = {r.branch: r.purity for r in urls.templates(pages).collect()}
+    assert got["/ads/*"] > 0.9 and got["/news/*"] < 0.1
+
+
+def test_pages_of_good_and_bad_branches_part(spark):
+    """Unlabelled pages of one host, of branches that rules label in part; hosts without labels."""
+    rules = (("h.net/ads/paid/", "block"), ("h.net/news/world/", "allow"), ("g.net/ads/paid/", "block"))
+    paths = [f"/ads/paid/{i}" for i in range(20)] + [f"/news/world/{i}" for i in range(20)] + ["/ads/other/1", "/ads/77", "/news/other/5", "/news/3", "/"]
+    pages = [(f"http://{h}{p}",) for h in ("h.net", "plain.org") for p in paths] + [("http://g.net/ads/paid/1",), (None,), ("no scheme",), ("http://h.net/" + "x/" * 3000,)]
+    df = spark.createDataFrame([(i if i % 7 else None, u) for i, (u,) in enumerate(pages)], "page_id long, url string").repartition(3)
+    out = {(r.host, r.path): r for r in urls.judge(df, rules=rules).collect()}
+    assert {p: out["h.net", p].verdict for p in paths[-5:]} == {"/ads/other/1": "block", "/ads/77": "block", "/news/other/5": "allow", "/news/3": "allow", "/": "allow"}
+    assert all(r.verdict == "allow" for (h, _), r in out.items() if h in ("plain.org", ""))
+    assert out["h.net", "/" + "x/" * 3000].branch == "/*/*/*/*" and len(out) == len({u for u, in pages}) - 1
+
+
+def brute_purity(pages, depth=4, least=3, z=1.96, weight=4.0):
+    """(host, segments, bad) -> purity, by plain loops over a dictionary of nodes."""
+    rows = [[h, [("*" if re.search("[0-9]", s) or len(s) > 32 else s) for s in segs][:depth], bad, "", "", None] for h, segs, bad in pages]
+    count = lambda some: (sum(r[2] is not None for r in some), sum(r[2] or 0 for r in some))
+    for h in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == h]
+        n, b = count(own)
+        for r in own:
+            r[5] = b / (n + weight)
+    for d in range(depth):
+        live = [r for r in rows if len(r[1]) > d]
+        nodes = defaultdict(list)
+        for r in live:
+            nodes[r[0], r[3]].append(r)
+        for members in nodes.values():
+            seen = Counter(r[1][d] for r in members)
+            groups = defaultdict(list)
+            for r in members:
+                groups[r[1][d] if seen[r[1][d]] >= least else "*"].append(r)
+            every_n, every_b = count(members)
+            for fixed, some in groups.items():
+                n, b = count(some)
+                name, rest = fixed, every_n - n
+                if n and rest:
+                    p = every_b / every_n
+                    if abs(b / n - (every_b - b) / rest) <= z * math.sqrt(p * (1 - p) * (1 / n + 1 / rest)):
+                        name = "*"
+                for r in some:
+                    r[3], r[4] = f"{r[3]}/{name}", f"{r[4]}/{fixed}"
+        rate = {}
+        for g in {r[4] for r in live}:
+            n, b = count([r for r in live if r[4] == g])
+            rate[g] = b / n if n else None
+        nodes = defaultdict(list)
+        for r in live:
+            nodes[r[0], r[3]].append(r)
+        for members in nodes.values():
+            n, b = count(members)
+            known = [rate[r[4]] for r in members if rate[r[4]] is not None]
+            above = members[0][5]
+            towards = math.sqrt(above * sum(known) / len(known)) if known else above
+            for r in members:
+                r[5] = (b + weight * towards) / (n + weight)
+    return [(r[0], r[3], r[5]) for r in rows]
+
+
+def test_template_tree_is_the_brute_force_one(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(600):
+        h = rng.choice(["a", "a", "a", "b", "c"])
+        segs = [rng.choice(["ads", "news", "x", "y1", f"u{rng.randrange(9)}", rng.choice("pqrstuvw")]) for _ in range(rng.randrange(0, 6))]
+        bad = rng.choice([None, None, int(bool(segs) and segs[0] in ("ads", "x")), rng.randrange(2)])
+        rows.append((h, segs, bad))
+    pages = spark.createDataFrame([(h, "/".join(s), b) for h, s, b in rows], "host string, path string, bad int").withColumn("shape", urls.lexical_template(F.col("path")))
+    found = {(r.host, r["shape"]): (r.branch, r.purity) for r in urls.templates(pages).collect()}
+    for (h, segs, _), (_, branch, purity) in zip(rows, brute_purity(rows), strict=True):
+        shape = "/".join("*" if re.search("[0-9]", s) else s for s in segs[:4])
+        assert found[h, shape][0] == branch and math.isclose(found[h, shape][1], purity, abs_tol=1e-9)
 
 
 # Tokens

@@ -1,5 +1,22 @@
 """SQL that gives the same rows as the registered queries, where SQL can."""
 
+
+
+def _level(d: int) -> str:
+    """One level of the template tree, from r{d-1} to r{d}."""
+    return f"""
+c{d} AS (SELECT *, nullif(split_part(shape, '/', {d}), '') AS seg FROM r{d - 1}),
+k{d} AS (SELECT host, branch, seg, sum(labelled)::DOUBLE AS l, sum(bad)::DOUBLE AS b, CASE WHEN sum(n) >= 3 THEN seg ELSE '*' END AS fixed FROM c{d} WHERE seg IS NOT NULL GROUP BY host, branch, seg),
+s{d} AS (SELECT host, branch, fixed, sum(l) AS l, sum(b) AS b, sum(sum(l)) OVER (PARTITION BY host, branch) AS el, sum(sum(b)) OVER (PARTITION BY host, branch) AS eb FROM k{d} GROUP BY host, branch, fixed),
+m{d} AS (SELECT host, branch, fixed, CASE WHEN l > 0 AND el > l AND abs(b / l - (eb - b) / (el - l)) <= 1.96 * sqrt((eb / el) * (1 - eb / el) * (1 / l + 1 / (el - l))) THEN '*' ELSE fixed END AS name FROM s{d}),
+n{d} AS (SELECT c{d}.host, shape, n, labelled, bad, purity AS above, c{d}.branch || '/' || name AS branch, general || '/' || fixed AS general
+  FROM c{d} JOIN k{d} USING (host, branch, seg) JOIN m{d} USING (host, branch, fixed)),
+g{d} AS (SELECT general, sum(bad)::DOUBLE / nullif(sum(labelled), 0) AS rate FROM n{d} GROUP BY general),
+j{d} AS (SELECT host, branch, sum(labelled)::DOUBLE AS l, sum(bad)::DOUBLE AS b, max(above) AS above, sum(n * rate) / sum(n) FILTER (WHERE rate IS NOT NULL) AS rate FROM n{d} JOIN g{d} USING (general) GROUP BY host, branch),
+r{d} AS (SELECT host, shape, n, labelled, bad, purity, branch, general FROM c{d} WHERE seg IS NULL UNION ALL
+  SELECT host, shape, n, labelled, bad, (b + 4.0::DOUBLE * coalesce(sqrt(j{d}.above * rate), j{d}.above)) / (l + 4.0::DOUBLE), branch, general FROM n{d} JOIN j{d} USING (host, branch)),"""
+
+
 ORACLES = {
     "op8_chunk_recipes": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -13,18 +30,13 @@ rules AS (SELECT * FROM (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/
 fit AS (SELECT page_id, rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS rn
   FROM p JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)),
 seen AS (SELECT p.*, rule, said, CASE said WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
-    array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 32 THEN '*' ELSE s END), '/') AS shape
+    array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> '')[1:4], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > 32 THEN '*' ELSE s END), '/') AS shape
   FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND rn = 1),
 shapes AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM seen GROUP BY host, shape),
-parts AS (SELECT host, shape, n, unnest(string_split(shape, '/')) AS segment, generate_subscripts(string_split(shape, '/'), 1) AS depth FROM shapes),
-levels AS (SELECT host, depth, segment, sum(n) AS ns, sum(sum(n)) OVER (PARTITION BY host, depth) AS nd FROM parts GROUP BY host, depth, segment),
-rebuilt AS (SELECT host, shape, string_agg(CASE WHEN ns >= 3 AND ns >= nd * 0.02 THEN segment ELSE '*' END, '/' ORDER BY depth) AS template
-  FROM parts JOIN levels USING (host, depth, segment) GROUP BY host, shape),
-known AS (SELECT *, sum(labelled) OVER (PARTITION BY host, template) AS tl, sum(bad) OVER (PARTITION BY host, template) AS tb,
-    sum(labelled) OVER (PARTITION BY host) AS hl, sum(bad) OVER (PARTITION BY host) AS hb FROM shapes JOIN rebuilt USING (host, shape)),
-branches AS (SELECT *, CASE WHEN tl > 0 AND abs(tb / tl - hb / hl) > 1.96 * sqrt((hb / hl) * (1 - hb / hl) / tl) THEN template ELSE regexp_replace(template, '[^/]+', '*', 'g') END AS branch FROM known),
-pure AS (SELECT host, shape, branch, round((sum(bad) OVER (PARTITION BY host, branch) + 4.0::DOUBLE * (SELECT coalesce(sum(bad) / sum(labelled), 0) FROM shapes))
-    / (sum(labelled) OVER (PARTITION BY host, branch) + 4.0::DOUBLE), 6) AS purity FROM branches)
+r0 AS (SELECT host, shape, n, labelled, bad, sum(bad) OVER (PARTITION BY host)::DOUBLE / (sum(labelled) OVER (PARTITION BY host) + 4.0::DOUBLE) AS purity, '' AS branch, '' AS general FROM shapes),"""
+    + "".join(map(_level, range(1, 5)))
+    + """
+pure AS (SELECT host, shape, branch, round(purity, 6) AS purity FROM r4)
 SELECT page_id, seen.host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, branch, purity
 FROM seen LEFT JOIN pure ON pure.host = seen.host AND pure.shape = seen.shape""",
     "op6_line_similarity_join": r"""
