@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import relational as R
+from weftgraph.sources.tables import materialise, release
 
 # Line rules in the order in which they are tried: pattern, field group, type group, source, confidence, languages.
 _TYPE = r"(\w[\w.<>,\s|]*)"
@@ -20,6 +21,7 @@ FACT_RULES = (
     (r"^(\w+)\s+\*?(\w[\w.]*)\s*(?:`|$|//)", 1, 2, "field_annotation", 0.88, ("go",)),
 )
 PRIMITIVES = ("null", "undefined", "void", "never", "None", "string", "number", "boolean", "any", "unknown", "int", "float", "str", "bool", "bytes", "object", "Object")
+# Calls on members, and fields that get a factory's result.
 CHAIN = r"(?:this|self)\s*(\.\s*\w+(?:\s*\.\s*\w+)*)\s*\("
 FACTORY = r"(?:this|self)\s*\.\s*(\w+)\s*=\s*(\w[\w.]*)\s*\.\s*(\w+)\s*\("
 
@@ -62,19 +64,23 @@ def member_calls(symbols: DataFrame) -> DataFrame:
     return found.select("caller", F.concat(F.lit("self"), part).alias("chain"), F.substring_index(part, ".", -1).alias("method"), "line")
 
 
-def resolve_chains(calls: DataFrame, facts: DataFrame, methods: DataFrame, mro: DataFrame, most: int = 8) -> DataFrame:
+def resolve_chains(calls: DataFrame, facts: DataFrame, methods: DataFrame, mro: DataFrame) -> DataFrame:
     """(caller, chain, types, targets, method, confidence, is_polymorphic) of calls (caller, owner, chain).
 
     A segment is looked up among a type's fields, then, if it is the last, among its own methods (.9) and those of its
     ancestors (.85); confidences multiply, a segment that fails costs .7 and ends the chain, and .05 is the least. One
-    join per position serves all chains. `methods` has class, method, id; `mro` class, mro (array of classes).
+    join per position serves all chains, however long; each position's table is written, so that plans don't grow with
+    the chains. `methods` has class, method, id; `mro` class, mro (array of classes).
     """
-    first = calls.select("caller", "chain", F.array_compact(F.array("owner")).alias("types"), F.slice(F.split("chain", "[.]"), 2, most).alias("segments"))
+    segments = F.split(F.col("chain"), "[.]")
+    first = calls.select("caller", "chain", F.array_compact(F.array("owner")).alias("types"), F.slice(segments, F.lit(2), F.size(segments)).alias("segments"))
     now = first.select("*", F.array().cast("array<string>").alias("targets"), F.lit("unresolved").alias("method"), F.lit(1.0).alias("confidence"), F.lit(False).alias("failed")).distinct()
+    now = materialise(now, "chains")
     inherited = mro.select("class", F.posexplode("mro").alias("position", "ancestor")).join(methods.select(F.col("class").alias("ancestor"), "method", "id"), "ancestor")
     nearest = inherited.groupBy("class", "method").agg(F.min(F.struct("position", "ancestor", F.col("id").cast("string").alias("id"))).alias("m"))
-    known = nearest.select("class", F.col("method").alias("segment"), F.col("m.ancestor").alias("ancestor"), F.col("m.id").alias("id"), (F.col("m.position") == 0).alias("own"))
+    known = materialise(nearest.select("class", F.col("method").alias("segment"), F.col("m.ancestor").alias("ancestor"), F.col("m.id").alias("id"), (F.col("m.position") == 0).alias("own")), "class-methods")
     fields = facts.select(F.col("owner").alias("class"), F.col("field").alias("segment"), F.col("types").alias("field_types"), F.col("source"), F.col("confidence").alias("field_confidence"))
+    fields = materialise(fields, "class-fields")
     longest = now.agg(F.max(F.size("segments"))).first()[0] or 0
     for i in range(longest):
         here = now.where((F.size("segments") > i) & ~F.col("failed"))
@@ -95,7 +101,9 @@ def resolve_chains(calls: DataFrame, facts: DataFrame, methods: DataFrame, mro:
             "caller", "chain", F.when(lost, F.col("types")).otherwise(F.col("next")).alias("types"), "segments", F.col("found").alias("targets"), F.when(lost, "unresolved").otherwise(F.coalesce("m.kind", F.lit("unresolved"))).alias("method"),
             (F.col("confidence") * F.when(lost, 0.3).otherwise(F.col("m.sure"))).alias("confidence"), lost.alias("failed"),
         )
-        now = rest.unionByName(moved)
+        stepped = materialise(rest.unionByName(moved), "chains")
+        release(now)
+        now = stepped
     return now.select("caller", "chain", "types", "targets", "method", F.greatest(F.lit(0.05), F.col("confidence")).alias("confidence"), (F.size("targets") > 1).alias("is_polymorphic"))
 
 

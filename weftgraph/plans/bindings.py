@@ -48,26 +48,26 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES = """SELECT a AS src, b AS dst, CASE (a + b) % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'references' WHEN 2 THEN 'imports' ELSE 'calls' END AS relation_type,
   round(0.5 + ((a * 7 + b) % 50) / 100.0, 2) AS confidence
-FROM (SELECT DISTINCT l_partkey AS a, (l_partkey * 3 + l_suppkey) % 499 AS b FROM lineitem WHERE l_linenumber = 1) WHERE a <> b"""
+FROM (SELECT DISTINCT l_partkey AS a, (l_partkey * 3 + l_suppkey % 4) % 499 AS b FROM lineitem) WHERE a <> b"""
 EDGES = f"({_EDGES.replace('100.0', '100.0::DOUBLE').replace('round(0.5 +', 'round(0.5::DOUBLE +')})"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed relations between parts from lineitem: src, dst, relation_type, confidence."""
+    """Directed relations between parts, one to four of each, from all of lineitem: src, dst, relation_type, confidence."""
     text = _EDGES.replace("FROM lineitem", "FROM {lineitem}").replace("100.0", "100D").replace("0.5 +", "0.5D +")
     return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"))
 
 
-#: event_type to hint type, by the value's last digits, so that all hint types occur.
+#: All hint types occur; a part has few, so that all purities occur too.
 HINT_TYPES = ("db_read", "db_write", "network_call", "file_io", "cache_op", "cache_write", "auth_check", "validation", "throws", "catches", "state_mutation", "transaction", "acquires_lock", "concurrency", "serialization", "logging")
 _HINTS = f"""SELECT l_partkey AS sv_id, concat('r', l_suppkey % 5) AS detail,
-  element_at(array({", ".join(f"'{h}'" for h in HINT_TYPES)}), cast(1 + (l_orderkey * 7 + l_suppkey) % 16 AS INT)) AS hint_type
-FROM lineitem WHERE l_quantity >= 48"""
+  element_at(array({", ".join(f"'{h}'" for h in HINT_TYPES)}), cast(1 + (l_partkey * 5 + l_partkey % 3 * (l_suppkey % 4)) % 16 AS INT)) AS hint_type
+FROM lineitem"""
 HINTS = "(" + _HINTS.replace("element_at(array(", "list_extract(list_value(").replace("AS INT", "AS BIGINT") + ")"
 
 
 def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour hints of parts from lineitem: sv_id, hint_type, detail."""
+    """Behaviour hints of parts from all of lineitem, of one to four types each: sv_id, hint_type, detail."""
     return spark.sql(_HINTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
@@ -87,7 +87,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INFERRED = """SELECT src, dst, relation_type, confidence, review_state, valid_to FROM (SELECT a AS src, b AS dst, round(0.25D + ((a * 7 + b * 3) % 70) / 100D, 2) AS confidence,
   CASE (a + b) % 5 WHEN 0 THEN 'co_changed_with' WHEN 1 THEN 'contract_sibling' ELSE 'near_duplicate_logic' END AS relation_type,
   CASE (a * b) % 7 WHEN 0 THEN 'rejected' ELSE 'unreviewed' END AS review_state, CASE (a + b) % 11 WHEN 0 THEN 9 END AS valid_to
-FROM (SELECT DISTINCT least(l_partkey, o) AS a, greatest(l_partkey, o) AS b FROM (SELECT l_partkey, l_partkey - l_partkey % 12 + l_suppkey % 12 AS o FROM lineitem WHERE l_linenumber = 1) WHERE l_partkey <> o))"""
+FROM (SELECT DISTINCT least(l_partkey, o) AS a, greatest(l_partkey, o) AS b FROM (SELECT l_partkey, l_partkey - l_partkey % 12 + l_suppkey % 12 AS o FROM lineitem) WHERE l_partkey <> o))"""
 INFERRED = "(" + _INFERRED.replace("0.25D", "0.25::DOUBLE").replace("100D", "100::DOUBLE") + ")"
 
 
@@ -96,7 +96,7 @@ def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_INFERRED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-_INVARIANTS = """SELECT l_partkey AS sv_id, concat('quantity <= ', cast(l_quantity AS INT)) AS expression, max(round(0.6 + l_discount * 4, 2)) AS strength FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2"""
+_INVARIANTS = """SELECT l_partkey AS sv_id, concat('quantity <= ', cast(l_quantity AS INT)) AS expression, max(round(0.6 + l_discount * 4, 2)) AS strength FROM lineitem GROUP BY 1, 2"""
 INVARIANTS = f"({_INVARIANTS})"
 
 
@@ -105,12 +105,12 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_INVARIANTS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
-_ARTIFACTS = "SELECT o_orderkey AS artifact, min(o_custkey) AS test, array_sort(collect_set(l_partkey)) AS related FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey"
+_ARTIFACTS = "SELECT o_orderkey AS artifact, min(o_custkey) AS test, array_sort(collect_set(l_partkey)) AS related FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"
 ARTIFACTS = "(" + _ARTIFACTS.replace("array_sort(collect_set(l_partkey))", "list_sort(list(DISTINCT l_partkey))") + ")"
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tests from urgent orders: artifact, test (its symbol), related (symbols)."""
+    """Tests from all orders: artifact, test (its symbol), related (symbols)."""
     return spark.sql(_ARTIFACTS.replace("FROM orders JOIN lineitem", "FROM {orders} JOIN {lineitem}"), orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
 
 

@@ -176,16 +176,16 @@ def inferred_tests(spark, sf_dir):
     return G.infer_tests(symbols, B.edges(spark, sf_dir))
 
 
-# Blast radius. Targets are the parts of one brand's smallest keys.
+# Blast radius. A search: targets are all parts whose key is divisible by 50.
 
-TARGETS = "(SELECT p_partkey AS node FROM part WHERE p_partkey < 400 AND p_partkey % 40 = 7)"
+TARGETS = "(SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 0)"
 PURITY = """CASE WHEN list_has_any(h, ['network_call', 'transaction', 'acquires_lock', 'concurrency']) THEN 'side_effecting' WHEN list_has_any(h, ['db_write', 'state_mutation', 'file_io', 'cache_write']) THEN 'read_write'
   WHEN list_has_any(h, ['db_read', 'cache_op', 'auth_check']) THEN 'read_only' ELSE 'pure' END"""
 PURITIES = f"(SELECT sv_id, {PURITY} AS purity_class FROM (SELECT sv_id, list(DISTINCT hint_type) AS h FROM {B.HINTS} GROUP BY sv_id))"
 
 
 def _targets(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey < 400 AND p_partkey % 40 = 7").select(F.col("p_partkey").alias("node"))
+    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
 
 
 def _purities(spark, sf_dir):

@@ -117,13 +117,17 @@ _VIEWS = f"(SELECT sv_id, {tokens_sql(split_sql('name'), False)} AS name, string
 @query(
     "T8_multi_view",
     f"""WITH v AS {_VIEWS} SELECT a.sv_id AS a, b.sv_id AS b, round((0.25 * {jaccard_sql('a.name', 'b.name')} + 0.20 * {jaccard_sql('a.signature', 'b.signature')} + 0.15 * {jaccard_sql('a.behavior', 'b.behavior')}) / 0.6, 6) AS similarity
-FROM v a JOIN v b ON b.sv_id = a.sv_id + 1""",
+FROM v a JOIN v b ON a.sv_id % 50 = 0 AND b.sv_id <> a.sv_id AND list_has_any(a.name, b.name)""",
 )
 def multi_view(spark, sf_dir):
+    """A search: symbols whose id is divisible by 50, against all that share a name token."""
     s = B.symbols(spark, sf_dir)
     views = s.select("sv_id", T.tokenize_name(F.col("name")).alias("name"), F.split("kind", " ").alias("behavior"), F.regexp_extract_all("signature", F.lit("[a-z]+"), F.lit(0)).alias("signature"))
     a, b = views.alias("a"), views.alias("b")
-    met = a.join(b, F.col("b.sv_id") == F.col("a.sv_id") + 1)
+    of = views.select("sv_id", F.explode(F.array_distinct("name")).alias("token"))
+    asked, found = of.where("sv_id % 50 = 0").select(F.col("sv_id").alias("x"), "token"), of.select(F.col("sv_id").alias("y"), "token")
+    pairs = asked.join(found, "token").where("x <> y").select("x", "y").distinct()
+    met = a.join(pairs, F.col("a.sv_id") == F.col("x")).join(b, F.col("b.sv_id") == F.col("y"))
     each = F.array(*[F.struct(F.lit(v).alias("view"), T.jaccard(F.col(f"a.{v}"), F.col(f"b.{v}")).alias("similarity")) for v in ("name", "signature", "behavior")])
     rows = met.select(F.col("a.sv_id").alias("a"), F.col("b.sv_id").alias("b"), F.inline(each))
     return V.multi_view(rows, "a", "b").withColumn("similarity", F.round("similarity", 6))
