@@ -61,6 +61,25 @@ def test_communication_matrix():
     assert abs(mean - 25) < 1
 
 
+def test_hypergeometric_draws_follow_the_law():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((3, 4, 3), (10, 2, 7), (40, 60, 30)):
+        drawn = Counter(sharding.hypergeometric(rng, good, bad, n) for _ in range(20_000))
+        law = {x: math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(max(0, n - bad), min(n, good) + 1)}
+        assert set(drawn) <= set(law) and all(abs(drawn[x] / 20_000 - p) < 0.02 for x, p in law.items())
+    assert sharding.hypergeometric(rng, 0, 9, 4) == 0 and sharding.hypergeometric(rng, 9, 0, 4) == 4 and sharding.hypergeometric(rng, 5, 5, 0) == 0
+
+
+def test_matrices_of_any_size_have_one_law():
+    """Beyond 10**9 places, where numpy's own draws end, rows differ from equal shares as the law says."""
+    rows, shards = [4_000_000_000] * 5, 4
+    found = np.concatenate([sharding.communication_matrix(rows, shards, s) for s in range(60)])
+    assert (found.sum(axis=1) == rows[0]).all() and sharding.communication_matrix(rows, shards, 3).sum(axis=0).tolist() == [5_000_000_000] * 4
+    every, good, n = sum(rows), 5_000_000_000, rows[0]
+    sd = (n * good / every * (1 - good / every) * (every - n) / (every - 1)) ** 0.5
+    assert abs(found.mean() - n / shards) < sd / 4 and 0.9 < found.std() / sd < 1.1
+
+
 # Packing
 
 

@@ -78,8 +78,9 @@ def pack(df: DataFrame, length: Column, key: str = "doc_id", buckets: int = 16,
     (inside the batch) and padding. Keep only the columns you need in `df`: it is
     written once in between. A bucket is ordered in `blocks`, by default one per million rows, 64 at
     least."""
-    df = df.drop("n_tokens", "bucket", "boundary", "batch", "place", "padding")
-    rows = materialise(df.withColumn("n_tokens", length), "lengths")
+    inner = [c for c in df.columns if c in ("_rank", "_block", "_start", "_n", "slot")]
+    df = df.withColumn("n_tokens", length).drop("bucket", "boundary", "batch", "place", "padding").withColumnsRenamed({c: f"{c} of the input" for c in inner})
+    rows = materialise(df, "lengths")
     histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
     bins = sorted((t, n, t * n) for t, n in zip(*(c.to_pylist() for c in histogram.columns), strict=True))
     bounds = optimal_boundaries(bins, buckets) or [1]
@@ -96,4 +97,5 @@ def pack(df: DataFrame, length: Column, key: str = "doc_id", buckets: int = 16,
         .withColumn("place", (F.col("slot") - F.col("batch") * fits).cast("int"))
         .withColumn("padding", F.col("boundary") - F.col("n_tokens"))
         .drop("slot")
+        .withColumnsRenamed({f"{c} of the input": c for c in inner})
     )

@@ -23,7 +23,7 @@ def _query(f):
 def op2_hypergeometric_shards(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = sharding.hypergeometric_shards(rows, shards=40)
+    out = sharding.hypergeometric_shards(rows, shards=40, tie=("text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

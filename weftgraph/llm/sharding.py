@@ -2,7 +2,7 @@
 
 Source partitions are hash buckets of the key, so a task that is run again deals the same
 rows. The number of rows each partition sends to each shard is drawn exactly: going down
-the partitions, the counts follow a multivariate hypergeometric law over the places left.
+the partitions, the counts follow a multivariate hypergeometric law over the places left, at any size.
 Each partition is permuted locally, cut by its row of the matrix, exchanged, and each
 shard is permuted again, in blocks whose order is random too.
 
@@ -21,26 +21,44 @@ from pyspark.sql import Window as W
 from weftgraph.operators.slots import gapless_slots, parts_for
 from weftgraph.sources.tables import materialise
 
-#: numpy draws from fewer than 10**9 places; beyond it, strata of partitions are dealt one by one.
-STRATUM = 900_000_000
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of `n` places drawn from `good` + `bad` are good, for numbers of any size.
+
+    The law's ratios of neighbours are simple fractions; they are multiplied outwards from the mode over twelve standard
+    deviations and more, beyond which less is left than a double can tell, and the law is inverted there.
+    """
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    every = good + bad
+    mode = min(max((n + 1) * (good + 1) // (every + 2), low), high)
+    reach = 40 + int(12 * (n * (good / every) * (bad / every) * ((every - n) / max(1, every - 1))) ** 0.5)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(last - first, dtype=np.float64)
+    steps = np.log((good - first) - x) + np.log((n - first) - x) - np.log((first + 1) + x) - np.log((bad - n + first + 1) + x)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
     """Counts of rows from each partition to each shard: row sums are `rows`, and the
     column sums differ by one at most."""
     rng, out = np.random.default_rng(seed), np.zeros((len(rows), shards), dtype=np.int64)
-    start, turn = 0, int(rng.integers(shards))
-    while start < len(rows):
-        end, total = start, 0
-        while end < len(rows) and (end == start or total + rows[end] <= STRATUM):
-            total, end = total + rows[end], end + 1
-        left = np.full(shards, total // shards, dtype=np.int64)
-        left[(turn + np.arange(total % shards)) % shards] += 1
-        turn = (turn + total % shards) % shards
-        for p in range(start, end):
-            out[p] = rng.multivariate_hypergeometric(left, rows[p], method="marginals")
-            left -= out[p]
-        start = end
+    total = sum(rows)
+    left = [total // shards] * shards
+    turn = int(rng.integers(shards))
+    for i in range(total % shards):
+        left[(turn + i) % shards] += 1
+    for p, n in enumerate(rows):
+        rest = total
+        for s in range(shards):
+            rest -= left[s]
+            out[p, s] = took = hypergeometric(rng, left[s], rest, n)
+            left[s] -= took
+            n -= took
+        total -= rows[p]
     return out
 
 
@@ -50,7 +68,8 @@ def hypergeometric_shards(df: DataFrame, key: str = "doc_id", shards: int = 40,
     `parts` and `blocks` default to one per million rows (256 and 64 at least), so that a block
     fits a task; the driver and broadcasts hold parts x shards and shards x blocks counts.
     """
-    df = df.drop("shard", "slot")
+    inner = [c for c in df.columns if c in ("_part", "_rank", "_ends", "_block", "_start", "_n")]
+    df = df.drop("shard", "slot").withColumnsRenamed({c: f"{c} of the input" for c in inner})
     n = df.count() if parts is None or blocks is None else 0
     parts = parts or parts_for(n, 256)
     blocks = blocks or parts_for(n // shards, 64)
@@ -68,4 +87,5 @@ def hypergeometric_shards(df: DataFrame, key: str = "doc_id", shards: int = 40,
         .drop("_part", "_rank", "_ends")
     )
     again = F.xxhash64(F.col(key), F.lit(seed + 2))
-    return gapless_slots(materialise(dealt, "shards"), "shard", F.pmod(again, F.lit(blocks)), [F.xxhash64(F.col(key), F.lit(seed + 3)), F.col(key), *map(F.col, tie)])
+    placed = gapless_slots(materialise(dealt, "shards"), "shard", F.pmod(again, F.lit(blocks)), [F.xxhash64(F.col(key), F.lit(seed + 3)), F.col(key), *map(F.col, tie)])
+    return placed.withColumnsRenamed({f"{c} of the input": c for c in inner})
