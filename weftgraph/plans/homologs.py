@@ -119,12 +119,13 @@ FLAGS = f"""array_to_string(list_filter([CASE WHEN a.purity_class <> b.purity_cl
 
 
 def _flagged(spark, sf_dir):
-    p = _profiles(spark, sf_dir)
-    both = p.alias("a").join(p.alias("b"), F.col("b.sv_id") == F.col("a.sv_id") + 1)
+    """Flags of the inferred pairs."""
+    p, i = _profiles(spark, sf_dir), B.inferred(spark, sf_dir).alias("i")
+    both = i.join(p.alias("a"), F.col("a.sv_id") == F.col("i.src")).join(p.alias("b"), F.col("b.sv_id") == F.col("i.dst"))
     return both.select(F.col("a.sv_id").alias("src"), F.col("b.sv_id").alias("dst"), H.contradictions("a", "b").alias("flags"))
 
 
-@query("H8_contradictions", f"SELECT a.sv_id AS src, b.sv_id AS dst, {FLAGS} AS flags FROM {PROFILES} a JOIN {PROFILES} b ON b.sv_id = a.sv_id + 1")
+@query("H8_contradictions", f"SELECT a.sv_id AS src, b.sv_id AS dst, {FLAGS} AS flags FROM {B.INFERRED} i JOIN {PROFILES} a ON a.sv_id = i.src JOIN {PROFILES} b ON b.sv_id = i.dst")
 def contradictions(spark, sf_dir):
     return _flagged(spark, sf_dir).withColumn("flags", F.array_join("flags", ","))
 
@@ -160,7 +161,7 @@ def review(spark, sf_dir):
     return H.review(i, decisions).select("src", "dst", "relation_type", "previous_state", "review_state")
 
 
-@query("H12_proposals", f"WITH f AS (SELECT a.sv_id AS src, b.sv_id AS dst, {FLAGS} AS flags FROM {PROFILES} a JOIN {PROFILES} b ON b.sv_id = a.sv_id + 1) SELECT i.src, i.dst, confidence, coalesce(flags, '') = '' AND confidence >= 0.85 AS is_safe FROM {B.INFERRED} i LEFT JOIN f ON f.src = i.src AND f.dst = i.dst WHERE relation_type <> 'co_changed_with' AND confidence >= 0.7 AND review_state <> 'rejected' AND valid_to IS NULL")
+@query("H12_proposals", f"WITH f AS (SELECT a.sv_id AS src, b.sv_id AS dst, {FLAGS} AS flags FROM {B.INFERRED} x JOIN {PROFILES} a ON a.sv_id = x.src JOIN {PROFILES} b ON b.sv_id = x.dst) SELECT i.src, i.dst, confidence, coalesce(flags, '') = '' AND confidence >= 0.85 AS is_safe FROM {B.INFERRED} i LEFT JOIN f ON f.src = i.src AND f.dst = i.dst WHERE relation_type <> 'co_changed_with' AND confidence >= 0.7 AND review_state <> 'rejected' AND valid_to IS NULL")
 def proposals(spark, sf_dir):
     return H.proposals(B.inferred(spark, sf_dir), _flagged(spark, sf_dir).select("src", "dst", F.size("flags").alias("n")))
 
@@ -359,10 +360,12 @@ def outliers(spark, sf_dir):
     return K.outliers(members, links, _exemplars(spark, sf_dir, members, links)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("K5_contradictions", f"SELECT a.sv_id AS exemplar, b.sv_id AS member, array_to_string(list_filter([CASE WHEN a.purity_class <> b.purity_class THEN 'purity_diverges:' || a.purity_class || '->' || b.purity_class END, CASE WHEN (len(a.auth_operations) > 0) <> (len(b.auth_operations) > 0) THEN 'auth_requirement_differs' END, CASE WHEN {' OR '.join(f'(len(b.{c}) > 0 AND len(a.{c}) = 0)' for c in list(K.EFFECT_FIELDS)[:5])} THEN 'effect_set_diverges' END, CASE WHEN a.exception_profile <> b.exception_profile AND len(a.exception_profile) > 0 AND len(b.exception_profile) > 0 THEN 'exception_semantics_differ' END, CASE WHEN ca.error_contract <> cb.error_contract AND ca.error_contract <> 'never' AND cb.error_contract <> 'never' THEN 'error_contract_diverges' END, CASE WHEN ca.security_contract <> cb.security_contract AND ca.security_contract <> 'none' AND cb.security_contract <> 'none' THEN 'security_contract_diverges' END], lambda x: x IS NOT NULL), ',') AS flags FROM {PROFILES} a JOIN {PROFILES} b ON b.sv_id = a.sv_id + 1 JOIN {B.CONTRACTS} ca ON ca.sv_id = a.sv_id JOIN {B.CONTRACTS} cb ON cb.sv_id = b.sv_id")
+@query("K5_contradictions", f"{FAM}, {EXEMPLAR} SELECT a.sv_id AS exemplar, b.sv_id AS member, array_to_string(list_filter([CASE WHEN a.purity_class <> b.purity_class THEN 'purity_diverges:' || a.purity_class || '->' || b.purity_class END, CASE WHEN (len(a.auth_operations) > 0) <> (len(b.auth_operations) > 0) THEN 'auth_requirement_differs' END, CASE WHEN {' OR '.join(f'(len(b.{c}) > 0 AND len(a.{c}) = 0)' for c in list(K.EFFECT_FIELDS)[:5])} THEN 'effect_set_diverges' END, CASE WHEN a.exception_profile <> b.exception_profile AND len(a.exception_profile) > 0 AND len(b.exception_profile) > 0 THEN 'exception_semantics_differ' END, CASE WHEN ca.error_contract <> cb.error_contract AND ca.error_contract <> 'never' AND cb.error_contract <> 'never' THEN 'error_contract_diverges' END, CASE WHEN ca.security_contract <> cb.security_contract AND ca.security_contract <> 'none' AND cb.security_contract <> 'none' THEN 'security_contract_diverges' END], lambda x: x IS NOT NULL), ',') AS flags FROM mb JOIN ex ON ex.family = mb.family AND mb.member <> ex.exemplar JOIN {PROFILES} a ON a.sv_id = ex.exemplar JOIN {PROFILES} b ON b.sv_id = mb.member JOIN {B.CONTRACTS} ca ON ca.sv_id = a.sv_id JOIN {B.CONTRACTS} cb ON cb.sv_id = b.sv_id")
 def family_contradictions(spark, sf_dir):
+    members, links = _families(spark, sf_dir)
     full = _profiles(spark, sf_dir).join(B.contracts(spark, sf_dir), "sv_id")
-    both = full.alias("e").join(full.alias("m"), F.col("m.sv_id") == F.col("e.sv_id") + 1)
+    pairs = members.join(_exemplars(spark, sf_dir, members, links).select("family", "exemplar"), "family").where("member <> exemplar").alias("x")
+    both = pairs.join(full.alias("e"), F.col("e.sv_id") == F.col("x.exemplar")).join(full.alias("m"), F.col("m.sv_id") == F.col("x.member"))
     return both.select(F.col("e.sv_id").alias("exemplar"), F.col("m.sv_id").alias("member"), F.array_join(K.deviations("e", "m")["contradiction_flags"], ",").alias("flags"))
 
 

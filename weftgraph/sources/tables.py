@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one parquet table of a data folder; works with any Hadoop-readable path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,11 +51,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once as parquet in the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor re-reads files instead of recomputing, and
-    both consumers of a shared intermediate read it instead of running it twice.
+    both consumers of a shared intermediate read it instead of running it twice. The write's own
+    shuffle files go once it is done, as nothing can need them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    try:
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
