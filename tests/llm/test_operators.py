@@ -453,6 +453,80 @@ def test_segmentations(spark, docs):
     assert segmentations.sample_segmentations(empty(docs)).count() == 0
 
 
+def all_segmentations(vocab, log_p, data):
+    """Every segmentation of the bytes and its probability, normalised."""
+    known = {vocab.raw[i]: i for i in range(vocab.size) if vocab.rank[i] < vocab.size}
+    known.setdefault(b"\xff", int(vocab.byte_ids[0xFF]))
+    out = {}
+    for cuts in itertools.product([0, 1], repeat=len(data) - 1):
+        ends = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(data)]
+        parts = [data[a:b] for a, b in itertools.pairwise(ends)]
+        if all(p in known for p in parts):
+            ids = tuple(known[p] for p in parts)
+            out[ids] = math.exp(sum(log_p[i] for i in ids))
+    total = sum(out.values())
+    return {ids: p / total for ids, p in out.items()}
+
+
+def test_sampled_segmentations_follow_the_law():
+    """Against full enumeration: first and second draws, Gumbel values and inclusion, for many keys."""
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    flat = np.where(vocab.zipf_log_probabilities() > -np.inf, -2.0, -np.inf)  # so that many segmentations have mass
+    law = all_segmentations(vocab, flat, b"\xffcat\xffof")
+    one, two = (all_segmentations(vocab, flat, x) for x in (b"\xffcat", b"\xffof"))
+    law = {a + b: p * q for a, p in one.items() for b, q in two.items()}
+    n = 3000
+    keys = np.random.default_rng(2).integers(0, 2**63, n, dtype=np.uint64)
+    tokens = L.Pretokens(*L.text_buffers(pa.array(["cat of"] * n)))
+    found = segmentations.sample_block(vocab, flat, tokens, keys, 2)
+    first, second = (Counter(tuple(s[i][0].pieces.tolist()) for s in found) for i in (0, 1))
+    assert set(first) | set(second) <= set(law) and len(law) > 20
+    later = {b: sum(p * law[b] / (1 - p) for a, p in law.items() if a != b) for b in law}
+    for ids, p in law.items():
+        assert abs(first[ids] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+        assert abs(second[ids] / n - later[ids]) < 4 * (later[ids] * (1 - later[ids]) / n) ** 0.5 + 1e-3
+    for s in found[:200]:
+        assert all(math.isclose(math.exp(t.scores.sum()), law[tuple(t.pieces.tolist())], rel_tol=1e-6) for t, _ in s)
+    tops = np.array([s[0][0].value for s in found])
+    assert abs(tops.mean() - 0.5772) < 0.1 and abs(tops.var() - math.pi**2 / 6) < 0.25
+    # Horvitz-Thompson: each distinct draw over its inclusion score sums to one in expectation.
+    assert abs(np.mean([sum(math.exp(t.scores.sum()) / i for t, i in s) for s in found]) - 1) < 0.05
+
+
+def test_other_choices_follow_the_law_given_the_taken():
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    flat = np.where(vocab.zipf_log_probabilities() > -np.inf, -2.0, -np.inf)
+    law = all_segmentations(vocab, flat, b"\xffcats")
+    tokens = L.Pretokens(*L.text_buffers(pa.array(["cats"])))
+    sampler = segmentations.Sampler(L.Trie(vocab, tokens, slice(0, 1)), flat)
+    likely = sorted(law, key=law.get, reverse=True)
+    for taken in (likely[:1], likely[:3], likely[1:-1]):
+        raw = [np.array(t, dtype=np.int32).tobytes() for t in taken]
+        rest = {t: p for t, p in law.items() if t not in taken}
+        drawn = Counter(tuple(segmentations._other(sampler, 0, np.uint64(s * 7919), 1, raw)[0].tolist()) for s in range(3000))
+        assert set(drawn) <= set(rest)
+        for t, p in rest.items():
+            p /= sum(rest.values())
+            assert abs(drawn[t] / 3000 - p) < 4 * (p * (1 - p) / 3000) ** 0.5 + 1e-3
+
+
+def test_all_segmentations_come_out_without_replacement():
+    """More draws than a text has segmentations give each once, though nearly all mass is taken early."""
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    log_p = vocab.zipf_log_probabilities()
+    law = all_segmentations(vocab, log_p, b"\xffcats")
+    tokens = L.Pretokens(*L.text_buffers(pa.array(["cats"] * 5)))
+    for s in segmentations.sample_block(vocab, log_p, tokens, np.arange(5, dtype=np.uint64), len(law) + 3):
+        assert {tuple(t.pieces.tolist()) for t, _ in s} <= set(law) and len({tuple(t.pieces.tolist()) for t, _ in s}) == len(s)
+        assert len(s) >= min(len(law), 3) and sum(math.exp(t.scores.sum()) for t, _ in s) > 0.999
+
+
 # Languages
 
 

@@ -75,6 +75,6 @@ def op6_line_similarity_join(spark, sf_dir):
 
 @_query
 def op5_gumbel_segmentations(spark, sf_dir):
-    found = segmentations.sample_segmentations(table(spark, sf_dir, "documents"), with_pieces=False)
+    found = segmentations.sample_segmentations(table(spark, sf_dir, "documents"))
     rounded = [F.round(c, 6).alias(c) for c in ("log_probability", "perturbed", "inclusion")]
-    return found.select("doc_id", "rank", "n_pieces", *rounded, "pieces_crc32", "exact")
+    return found.select("doc_id", "rank", "n_pieces", *rounded, "pieces_crc32", "exact", "pieces")
