@@ -123,6 +123,18 @@ def test_dispatch_chains(spark):
     assert got == {1: (["7"], "inheritance_mro", 0.765), 2: (["8"], "type_annotation", 0.729), 3: (["9"], "type_annotation", 0.9), 4: ([], "unresolved", 0.3)}
 
 
+def test_chains_of_any_length(spark):
+    """A chain of twelve fields leads to the last one's type, one that fails on its way stays unresolved."""
+    n = 12
+    facts = spark.createDataFrame([(f"C{i}", f"f{i}", [f"C{i + 1}"], "field_annotation", 1.0) for i in range(n)], "owner string, field string, types array<string>, source string, confidence double")
+    methods = spark.createDataFrame([(f"C{i}", "go", i) for i in range(n + 1)], "class string, method string, id int")
+    mro = spark.createDataFrame([(f"C{i}", [f"C{i}"]) for i in range(n + 1)], "class string, mro array<string>")
+    whole = ".".join(["self", *(f"f{i}" for i in range(n)), "go"])
+    calls = spark.createDataFrame([(1, "C0", whole), (2, "C0", whole.replace("f9", "gone")), (3, "C0", "self.go"), (4, None, "self.go")], "caller int, owner string, chain string")
+    got = {r.caller: (r.targets, r.method, round(r.confidence, 4)) for r in D.resolve_chains(calls, facts, methods, mro).collect()}
+    assert got == {1: ([str(n)], "type_annotation", 0.9), 2: ([], "unresolved", 0.3), 3: (["0"], "type_annotation", 0.9), 4: ([], "unresolved", 0.3)}
+
+
 def test_capsules_never_overflow(spark):
     random.seed(5)
     kinds = list(X.CATEGORIES)
