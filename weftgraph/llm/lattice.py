@@ -118,11 +118,18 @@ class Vocabulary:
                 raise ValueError("the vocabulary does not fit its table")
         for at, h in held.items():
             self.table[at], self.ids[at] = h, keys[h]
+        # Most hashes that are looked up are no piece's; a megabyte of flags tells nearly all of these.
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[np.array(list(keys), dtype=np.uint64) >> np.uint64(44)] = True
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, or -1."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+        h = h[some]
         a, b = self._slots(h)
-        return np.where(self.table[a] == h, self.ids[a], np.where(self.table[b] == h, self.ids[b], np.int32(-1)))
+        out[some] = np.where(self.table[a] == h, self.ids[a], np.where(self.table[b] == h, self.ids[b], np.int32(-1)))
+        return out
 
     def zipf_log_probabilities(self) -> np.ndarray:
         """The public model holds merge ranks, not probabilities: by Zipf's law, the piece
