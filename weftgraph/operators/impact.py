@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from weftgraph.functions import ladders as L
 from weftgraph.operators import graph as G
 
+#: Limits of a request by a person: targets, and nodes that a level goes on from. None lifts them.
 MAX_TARGETS, FRONTIER = 20, 500
 
 
-def structural(edges: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
+def structural(edges: DataFrame, targets: DataFrame, depth: int = 2, width: int | None = FRONTIER) -> DataFrame:
     """Callers up to `depth` levels away. Also gives depth (from 1), relation_type and action."""
-    found = G.levels(edges, targets, "in", depth, width=FRONTIER).where("depth > 0")
+    found = G.levels(edges, targets, "in", depth, width=width).where("depth > 0")
     d = F.col("depth") - 1
     return found.select(
         F.col("node").alias("symbol"), F.lit("structural").alias("impact_type"), F.greatest(F.lit(0.05), F.col("confidence") * (1 - d * 0.2)).alias("confidence"),
@@ -71,11 +72,11 @@ def report(dimensions: dict[str, DataFrame]) -> DataFrame:
     return total.withColumn("scope", L.validation_scope(F.col("critical"), F.col("high"), F.col("total")))
 
 
-def blast_radius(edges: DataFrame, purity: DataFrame, invariants: DataFrame, inferred: DataFrame, targets: DataFrame, depth: int = 2) -> dict[str, DataFrame]:
-    """All five dimensions by name; more than 20 targets are refused."""
-    if targets.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
-        raise ValueError(f"at most {MAX_TARGETS} targets")
+def blast_radius(edges: DataFrame, purity: DataFrame, invariants: DataFrame, inferred: DataFrame, targets: DataFrame, depth: int = 2, most: int | None = MAX_TARGETS, width: int | None = FRONTIER) -> dict[str, DataFrame]:
+    """All five dimensions by name; more than `most` targets are refused."""
+    if most is not None and targets.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} targets")
     return {
-        "structural": structural(edges, targets, depth), "behavioral": behavioral(edges, purity, targets), "contract": contract(invariants, targets),
+        "structural": structural(edges, targets, depth, width), "behavioral": behavioral(edges, purity, targets), "contract": contract(invariants, targets),
         "homolog": homolog(inferred, targets), "historical": historical(inferred, targets),
     }

@@ -202,7 +202,7 @@ m AS (SELECT n.node, n.depth, max((e.confidence, e.relation_type)) AS best FROM
   depth::INT AS depth, best[2] AS relation_type, CASE depth WHEN 1 THEN 'rerun_test' ELSE 'manual_review' END AS action FROM m""",
 )
 def structural(spark, sf_dir):
-    return I.structural(B.edges(spark, sf_dir), _targets(spark, sf_dir), 3).withColumn("confidence", F.round("confidence", 6))
+    return I.structural(B.edges(spark, sf_dir), _targets(spark, sf_dir), 3, width=None).withColumn("confidence", F.round("confidence", 6))
 
 
 BEHAVIORAL = f"SELECT DISTINCT src AS symbol, 'behavioral' AS impact_type, 0.8::DOUBLE AS confidence, 'high' AS severity FROM {E} WHERE relation_type IN ('calls', 'references') AND dst IN (SELECT node FROM {TARGETS}) AND src IN (SELECT sv_id FROM {PURITIES} WHERE purity_class IN ('pure', 'read_only'))"
@@ -250,5 +250,5 @@ a AS (SELECT count(*) FILTER (WHERE t = 'structural') AS structural, count(*) FI
 SELECT *, CASE WHEN critical > 0 OR high >= 5 OR total >= 20 THEN 'strict' WHEN high >= 2 OR total >= 8 THEN 'standard' ELSE 'quick' END AS scope FROM a""",
 )
 def report(spark, sf_dir):
-    parts = I.blast_radius(B.edges(spark, sf_dir), _purities(spark, sf_dir), B.invariants(spark, sf_dir), B.inferred(spark, sf_dir), _targets(spark, sf_dir), 2)
+    parts = I.blast_radius(B.edges(spark, sf_dir), _purities(spark, sf_dir), B.invariants(spark, sf_dir), B.inferred(spark, sf_dir), _targets(spark, sf_dir), 2, most=None, width=None)
     return I.report(parts)
