@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import relational as R
-from weftgraph.sources.tables import materialise
+from weftgraph.sources.tables import extend, materialise
 
 CALLS = ("calls", "references")
 MAX_DEPTH, MAX_NODES, MAX_HOPS, MAX_CHAIN = 5, 100, 4, 100
@@ -92,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def peel(nodes: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Layers of a call graph from its leaves: (node, turn) of what can be ordered, and the nodes that call
-    into a cycle and never can. `nodes` (node) bounds the graph; `calls` has src, dst."""
+    into a cycle and never can. `nodes` (node) bounds the graph; `calls` has src, dst. Each layer is appended to one table."""
     calls = materialise(calls.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct(), "calls")
     left, turn = materialise(nodes.select("node"), "waiting"), 0
     done = None
@@ -101,7 +101,7 @@ def peel(nodes: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
         waiting = calls.join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         blocked = materialise(left.join(waiting, "node", "left_semi"), "waiting")
         ready = left.join(blocked, "node", "left_anti").select("node", F.lit(turn).alias("turn"))
-        done = materialise(ready if done is None else done.unionByName(ready), "layers")
+        done = materialise(ready, "layers") if done is None else extend(done, ready)
         if blocked.count() == left.count() or not blocked.limit(1).count():
             return done, blocked
         left, turn = blocked, turn + 1
@@ -111,14 +111,15 @@ def propagate_levels(profiles: DataFrame, calls: DataFrame) -> DataFrame:
     """(node, level, final): the highest level among a node and all it calls, directly or not. Nodes that
     call into a cycle get the highest level of their weakly connected cluster of such nodes."""
     layers, stuck = peel(profiles, calls)
-    known = profiles.join(layers, "node", "left")
+    known = materialise(profiles.select("node", "level").join(layers, "node", "left"), "levels")
     turns = layers.agg(F.max("turn")).first()[0] or 0
     now = materialise(known.where("turn = 0").select("node", F.col("level").alias("final")), "levels")
-    calls = calls.select("src", "dst").distinct()
+    calls = materialise(calls.select("src", "dst").distinct(), "calls")
     for turn in range(1, turns + 1):
         layer = known.where(F.col("turn") == turn).select("node", "level")
-        heard = calls.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("final").alias("heard"))
-        now = materialise(now.unionByName(layer.join(heard, "node", "left").select("node", F.greatest("level", F.coalesce("heard", "level")).alias("final"))), "levels")
+        out = calls.join(layer.select(F.col("node").alias("src")), "src", "left_semi")
+        heard = out.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("final").alias("heard"))
+        now = extend(now, layer.join(heard, "node", "left").select("node", F.greatest("level", F.coalesce("heard", "level")).alias("final")))
     heard = calls.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("final").alias("heard"))
     own = profiles.join(stuck, "node", "left_semi").join(heard, "node", "left").select("node", F.greatest("level", F.coalesce("heard", "level")).alias("own"))
     clusters = _clusters(stuck, calls)

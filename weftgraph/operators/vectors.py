@@ -59,6 +59,16 @@ def unit_vectors(tf: DataFrame, idf: DataFrame, *key: str) -> DataFrame:
     return raw.withColumn("size", size).select(*key, "token", F.when(F.col("size") < 1e-10, F.col("w")).otherwise(F.col("w") / F.col("size")).alias("weight"))
 
 
+def matching_vectors(tf: DataFrame, idf: DataFrame, tokens: DataFrame, *key: str) -> DataFrame:
+    """The rows of `unit_vectors` for these tokens (token) alone. Lengths are summed before they are shuffled and the other
+    rows of the corpus are read, not moved by key; `tf` and `idf` are best written tables."""
+    known = idf.select("token", "idf")
+    weighted = lambda rows: rows.join(known, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    size = weighted(tf).groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    few = weighted(tf.join(tokens.select("token").distinct(), "token", "left_semi")).join(size, list(key))
+    return few.select(*key, "token", F.when(F.col("size") < 1e-10, F.col("w")).otherwise(F.col("w") / F.col("size")).alias("weight"))
+
+
 def cosine_pairs(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     """(a_key, b_key, cosine) of all pairs that share a token."""
     right = b.select(b_key, "token", F.col("weight").alias("_w"))

@@ -8,7 +8,7 @@ from weftgraph.operators import vectors as V
 from weftgraph.plans import bindings as B
 from weftgraph.plans.registry import query
 from weftgraph.plans.scalars import NAME_PROBE, body_sql, jaccard_sql, q, tokens_sql, split_sql, trgm_sql
-from weftgraph.sources.tables import table
+from weftgraph.sources.tables import materialise, table
 
 
 def _tokens(spark, sf_dir, name="documents", key="doc_id"):
@@ -37,9 +37,14 @@ def inverse_frequency(spark, sf_dir):
     return V.inverse_frequencies(tf, _n(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
+def _frequencies(spark, sf_dir, cap=None):
+    """tf and idf, written: texts are tokenised once, whoever reads them."""
+    tf = materialise(V.term_frequencies(_tokens(spark, sf_dir), "doc_id"), "tf")
+    return tf, materialise(V.inverse_frequencies(tf, _n(spark, sf_dir), cap), "idf")
+
+
 def _vectors(spark, sf_dir):
-    tf = V.term_frequencies(_tokens(spark, sf_dir), "doc_id")
-    idf = V.inverse_frequencies(tf, _n(spark, sf_dir))
+    tf, idf = _frequencies(spark, sf_dir)
     return V.unit_vectors(tf, idf, "doc_id"), idf
 
 
@@ -135,9 +140,8 @@ def multi_view(spark, sf_dir):
 
 @query("T9_corpus_vectors", f"WITH {TF}, top AS (SELECT token, idf FROM idf ORDER BY df DESC, token LIMIT 5000), r AS (SELECT doc_id, tf.token, tf * coalesce(top.idf, 1) AS w FROM tf LEFT JOIN top ON top.token = tf.token) SELECT doc_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM r")
 def corpus_vectors(spark, sf_dir):
-    """Two passes over the corpus as one plan; the vocabulary keeps the most frequent tokens."""
-    tf = V.term_frequencies(_tokens(spark, sf_dir), "doc_id")
-    idf = V.inverse_frequencies(tf, _n(spark, sf_dir), cap=5000)
+    """Two passes over the corpus, the first written; the vocabulary keeps the most frequent tokens."""
+    tf, idf = _frequencies(spark, sf_dir, cap=5000)
     return V.unit_vectors(tf, idf, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
@@ -174,8 +178,9 @@ s AS (SELECT doc_id, round(least(1, first * CASE WHEN kind = 'function' THEN 1.1
 SELECT doc_id, similarity, (row_number() OVER (ORDER BY similarity DESC, doc_id))::INT AS rank FROM s""",
 )
 def semantic_search(spark, sf_dir):
-    vectors, idf = _vectors(spark, sf_dir)
-    wanted = _tokens(spark, sf_dir, "benchmark", "item_id").where("item_id = 0")
+    tf, idf = _frequencies(spark, sf_dir)
+    wanted = materialise(_tokens(spark, sf_dir, "benchmark", "item_id").where("item_id = 0"), "query-tokens")
+    vectors = V.matching_vectors(tf, idf, wanted, "doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_KIND).alias("kind"), F.size(F.split("text", "\n")).alias("line_span"), F.length("text").alias("body_length"))
     return V.semantic_search(vectors, idf, wanted, docs, "doc_id")
 

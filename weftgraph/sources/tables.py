@@ -69,6 +69,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extend(grown: DataFrame, rows: DataFrame) -> DataFrame:
+    """Appends `rows` to the files of a table that `materialise` returned; what was written before stays as it is. Returns a
+    scan of all."""
+    path = next(f.rpartition("/")[0] for f in grown.inputFiles())
+    rows.select(*grown.columns).write.mode("append").parquet(path)
+    return grown.sparkSession.read.schema(grown.schema).parquet(path)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes the files of tables that `materialise` returned, once nothing reads them any more."""
     for df in tables:
