@@ -53,7 +53,8 @@ def rename_candidates(old: DataFrame, new: DataFrame, block: list[str]) -> DataF
     """Scored pairs (new_id, old_id, five signals, score) of score .45 and more; the best per new symbol, then the least id.
 
     Both have sv_id, name, kind, language, file_path, signature, hashes, callers, callees. Only symbols
-    equal in `block` (kind and language at least) are compared; a new symbol's nearest 200 by edit distance of names count.
+    equal in `block` (kind and language at least) are compared; a new symbol's nearest 200 by edit distance of names count, and
+    only these are looked at in more than their names.
     """
     a, b = old.alias("o"), new.alias("n")
     same = F.lit(True)
@@ -65,8 +66,9 @@ def rename_candidates(old: DataFrame, new: DataFrame, block: list[str]) -> DataF
         "neighbourhood": neighbourhood_similarity(F.col("o.callers"), F.col("o.callees"), F.col("n.callers"), F.col("n.callees")),
         "signature": T.signature_similarity(F.col("o.signature"), F.col("n.signature"), (0.4, 0.3, 0.3)), "name": T.name_similarity(F.col("o.name"), F.col("n.name")),
     }
-    pairs = a.join(b, same & ~itself).select(F.col("n.sv_id").alias("new_id"), F.col("o.sv_id").alias("old_id"), F.levenshtein("o.name", "n.name").alias("distance"), *[v.alias(k) for k, v in signals.items()])
-    near = R.top_of_each(pairs, ["new_id"], [F.col("distance"), F.col("old_id")], NEAREST)
+    pairs = a.join(b, same & ~itself).select(F.col("n.sv_id").alias("new_id"), F.col("o.sv_id").alias("old_id"), F.levenshtein("o.name", "n.name").alias("distance"))
+    near = R.top_of_each(pairs, ["new_id"], [F.col("distance"), F.col("old_id")], NEAREST).select("new_id", "old_id")
+    near = near.join(b, F.col("new_id") == F.col("n.sv_id")).join(a, F.col("old_id") == F.col("o.sv_id")).select("new_id", "old_id", *[v.alias(k) for k, v in signals.items()])
     score = F.least(F.lit(1.0), sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0)))
     good = near.withColumn("score", F.round(score, 9)).where(F.col("score") >= RENAME_THRESHOLD)
     return R.first_of_each(good, ["new_id"], [F.desc("score"), F.col("old_id")]).select("new_id", "old_id", *WEIGHTS, "score")

@@ -12,7 +12,7 @@ from weftgraph.plans.graph import OPEN, PURITIES
 from weftgraph.plans.profiles import PROFILES, _profiles
 from weftgraph.plans.registry import query
 from weftgraph.plans.scalars import jaccard_sql, name_sim_sql, sig_sim_sql, split_sql, tokens_sql, trigrams_sql
-from weftgraph.sources.tables import table
+from weftgraph.sources.tables import materialise, table
 
 HASHED = f"""(SELECT s.*, coalesce(p.purity_class, 'pure') AS purity_class, md5(name || kind) AS body_hash, md5(name) AS ast_hash, md5(regexp_replace(name, '[0-9]+$', '') || CAST(line_span % 3 AS VARCHAR)) AS normalized_ast_hash
   FROM {B.SYMBOLS} s LEFT JOIN {PURITIES} p ON p.sv_id = s.sv_id)"""
@@ -191,16 +191,26 @@ def exact_lineage(spark, sf_dir):
     return N.exact_matches(old.select(F.col("sv_id").alias("lineage_id"), "seed", (F.col("sv_id") % 5 > 0).alias("is_alive")), new)
 
 
-RENAMES = f"""o AS (SELECT * FROM {_OLD}), n AS (SELECT * FROM {_NEW}), w AS (SELECT n.sv_id AS new_id, o.sv_id AS old_id, levenshtein(o.name, n.name) AS distance,
+NEAR = f"""e AS (SELECT src, dst FROM {B.EDGES} WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)), nb AS (SELECT node, list_sort(list_filter(list(DISTINCT c), lambda x: x IS NOT NULL)) AS callers, list_sort(list_filter(list(DISTINCT d), lambda x: x IS NOT NULL)) AS callees FROM (
+  SELECT src AS node, NULL AS c, p_name AS d FROM e JOIN part ON p_partkey = dst UNION ALL SELECT dst, p_name, NULL FROM e JOIN part ON p_partkey = src) GROUP BY node)"""
+
+
+def _near(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
+    return N.neighbourhoods(B.edges(spark, sf_dir), names)
+
+
+_AROUND = f"0.4 * {jaccard_sql('coalesce(x.callers, [])', 'coalesce(y.callers, [])')} + 0.6 * {jaccard_sql('coalesce(x.callees, [])', 'coalesce(y.callees, [])')}"
+RENAMES = f"""{NEAR}, o AS (SELECT * FROM {_OLD}), n AS (SELECT * FROM {_NEW}), w AS (SELECT n.sv_id AS new_id, o.sv_id AS old_id, levenshtein(o.name, n.name) AS distance,
   CASE WHEN o.normalized_ast_hash = n.normalized_ast_hash THEN 1.0 WHEN o.ast_hash = n.ast_hash THEN 0.85 ELSE 0.0 END::DOUBLE AS normalized_ast, CASE WHEN o.body_hash = n.body_hash THEN 1.0 WHEN o.ast_hash = n.ast_hash THEN 0.7 WHEN o.normalized_ast_hash = n.normalized_ast_hash THEN 0.6 ELSE 0.0 END::DOUBLE AS body_hash,
   {sig_sim_sql('o.signature', 'n.signature', (0.4, 0.3, 0.3))} AS signature, {name_sim_sql('o.name', 'n.name')} AS name FROM o JOIN n ON o.kind = n.kind AND split_part(o.file_path, '/', 2) = split_part(n.file_path, '/', 2) WHERE NOT (o.name = n.name AND o.file_path = n.file_path)),
-r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY distance, old_id) AS rn FROM w), s AS (SELECT *, round(least(1.0, 0.30 * normalized_ast + 0.25 * body_hash + 0.15 * signature + 0.15 * name)::DOUBLE, 9) AS score FROM r WHERE rn <= 200),
+r AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY distance, old_id) AS rn FROM w), s AS (SELECT r.*, round(least(1.0, 0.30 * normalized_ast + 0.25 * body_hash + 0.15 * ({_AROUND}) + 0.15 * signature + 0.15 * name)::DOUBLE, 9) AS score FROM r LEFT JOIN nb x ON x.node = r.old_id LEFT JOIN nb y ON y.node = r.new_id WHERE rn <= 200),
 b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) AS best FROM s WHERE score >= 0.45)"""
 
 
 def _renames(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    old, new = (s.withColumn("callers", none).withColumn("callees", none) for s in _snapshots(spark, sf_dir))
+    near = materialise(_near(spark, sf_dir).withColumnRenamed("node", "sv_id"), "neighbourhoods")
+    old, new = (s.join(near, "sv_id", "left") for s in _snapshots(spark, sf_dir))
     return N.rename_candidates(old, new, ["kind", "language"])
 
 
@@ -215,14 +225,9 @@ def greedy_assignment(spark, sf_dir):
     return N.assign_greedily(_renames(spark, sf_dir))
 
 
-NEAR = f"""e AS (SELECT src, dst FROM {B.EDGES} WHERE src IN (SELECT p_partkey FROM part) AND dst IN (SELECT p_partkey FROM part)), nb AS (SELECT node, list_sort(list_filter(list(DISTINCT c), lambda x: x IS NOT NULL)) AS callers, list_sort(list_filter(list(DISTINCT d), lambda x: x IS NOT NULL)) AS callees FROM (
-  SELECT src AS node, NULL AS c, p_name AS d FROM e JOIN part ON p_partkey = dst UNION ALL SELECT dst, p_name, NULL FROM e JOIN part ON p_partkey = src) GROUP BY node)"""
-
-
 @query("L3_neighbourhood_similarity", f"WITH {NEAR} SELECT a.node AS a, b.node AS b, round(0.4 * {jaccard_sql('a.callers', 'b.callers')} + 0.6 * {jaccard_sql('a.callees', 'b.callees')}, 6) AS similarity FROM nb a JOIN nb b ON b.node = a.node + 1")
 def neighbourhood_similarity(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
-    near = N.neighbourhoods(B.edges(spark, sf_dir), names)
+    near = _near(spark, sf_dir)
     both = near.alias("a").join(near.alias("b"), F.col("b.node") == F.col("a.node") + 1)
     value = N.neighbourhood_similarity(F.col("a.callers"), F.col("a.callees"), F.col("b.callers"), F.col("b.callees"))
     return both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.round(value, 6).alias("similarity"))
@@ -273,8 +278,6 @@ SIDES = "sd AS (SELECT a AS member, b AS other, confidence FROM ln UNION ALL SEL
 
 
 def _families(spark, sf_dir):
-    from weftgraph.sources.tables import materialise
-
     i = B.inferred(spark, sf_dir)
     return materialise(K.clusters(i), "families"), K.open_edges(i)
 
