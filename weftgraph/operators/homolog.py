@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import relational as R
+from weftgraph.operators import vectors as V
 
 # Weights and thresholds.
 WEIGHTS = {"semantic": 0.20, "logic": 0.20, "signature": 0.15, "behavior": 0.15, "contract": 0.15, "tests": 0.10, "history": 0.05}
 FAMILY_FLOOR, MIN_FAMILIES, MIN_TOTAL, SAFE = 0.1, 2, 0.60, 0.85
-CAPS = {"body_hash": 50, "ast_hash": 50, "normalized_ast_hash": 50, "name": 30, "behavior": 30, "kind": 20}
+CAPS = {"body_hash": 50, "ast_hash": 50, "normalized_ast_hash": 50, "name": 30, "behavior": 30, "kind": 20, "semantic": 30}
 
 
 def candidates(targets: DataFrame, symbols: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
@@ -40,6 +41,33 @@ def candidates(targets: DataFrame, symbols: DataFrame, semantic: DataFrame | Non
     return reduce(DataFrame.union, found).distinct()
 
 
+def semantic_candidates(targets: DataFrame, members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(target, candidate): for each target (sv_id) the most similar by MinHash of those that share a band with it.
+
+    Symbols with equal token sets form a class: `members` has sv_id, class; `signatures` class, signature. Classes meet, not
+    symbols, and a class offers as many of its first members as one target may take.
+    """
+    cap = CAPS["semantic"]
+    asked = targets.select(F.col("sv_id").alias("target")).join(members.select(F.col("sv_id").alias("target"), F.col("class").alias("a")), "target")
+    keyed = signatures.select("class", V.band_keys(F.col("signature")).alias("band_keys"))
+    mine = keyed.withColumnRenamed("class", "a").join(asked.select("a"), "a", "left_semi")
+    met = V.band_pairs(mine, keyed.withColumnRenamed("class", "b"), "a", "b")
+    alike = met.join(signatures.select(F.col("class").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("class").alias("b"), F.col("signature").alias("sb")), "b")
+    alike = alike.select("a", "b", V.estimated_jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
+    offered = R.top_of_each(members, ["class"], [F.col("sv_id")], cap + 1).select(F.col("class").alias("b"), F.col("sv_id").alias("candidate"))
+    pairs = asked.join(alike, "a").join(offered, "b").where("target <> candidate")
+    return R.top_of_each(pairs, ["target"], [F.desc("similarity"), F.col("candidate")], cap).select("target", "candidate")
+
+
+def body_similarity(pairs: DataFrame, members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """`pairs` (target, candidate, ...) with body: the estimated Jaccard similarity of their token sets, 0 where one has none.
+    `members` and `signatures` as in `semantic_candidates`."""
+    for key, own in (("target", "a"), ("candidate", "b")):
+        known = members.join(signatures, "class").select(F.col("sv_id").alias(key), F.col("signature").alias(f"_{own}"))
+        pairs = pairs.join(known, key, "left")
+    return pairs.withColumn("body", F.coalesce(V.estimated_jaccard(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
+
+
 def logic_similarity(a: str, b: str, fallback: Column) -> Column:
     """1 for equal bodies, .9 for equal normalised trees, .85 for equal trees, else the estimate."""
     same = lambda c: F.col(f"{a}.{c}") == F.col(f"{b}.{c}")

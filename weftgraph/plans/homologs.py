@@ -7,11 +7,13 @@ from weftgraph.operators import families as K
 from weftgraph.operators import homolog as H
 from weftgraph.operators import lineage as N
 from weftgraph.operators import profiles as P
+from weftgraph.operators import vectors as V
 from weftgraph.plans import bindings as B
 from weftgraph.plans.graph import OPEN, PURITIES
 from weftgraph.plans.profiles import PROFILES, _profiles
 from weftgraph.plans.registry import query
-from weftgraph.plans.scalars import jaccard_sql, name_sim_sql, sig_sim_sql, split_sql, tokens_sql, trigrams_sql
+from weftgraph.plans.scalars import body_sql, jaccard_sql, name_sim_sql, sig_sim_sql, split_sql, tokens_sql, trigrams_sql
+from weftgraph.plans.vectors import ESTIMATE, signature_sql
 from weftgraph.sources.tables import materialise, table
 
 HASHED = f"""(SELECT s.*, coalesce(p.purity_class, 'pure') AS purity_class, md5(name || kind) AS body_hash, md5(name) AS ast_hash, md5(regexp_replace(name, '[0-9]+$', '') || CAST(line_span % 3 AS VARCHAR)) AS normalized_ast_hash
@@ -33,13 +35,29 @@ def _bucket(keys: str, cap: int) -> str:
 
 
 _GRAM = f"""SELECT target, candidate FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sim DESC, candidate) AS rn FROM (SELECT a.sv_id AS target, b.sv_id AS candidate, {jaccard_sql('a.g', 'b.g')} AS sim FROM (SELECT sv_id, {trigrams_sql('name')} AS g FROM h WHERE sv_id % 50 = 0) a JOIN (SELECT sv_id, {trigrams_sql('name')} AS g FROM h) b ON a.sv_id <> b.sv_id) WHERE sim >= 0.3) WHERE rn <= 30"""
-CANDIDATES = f"h AS {HASHED}, c AS ({' UNION '.join(_bucket(k, n) for k, n in (('body_hash', 50), ('ast_hash', 50), ('normalized_ast_hash', 50), ('kind purity_class', 30), ('kind', 20)))} UNION {_GRAM})"
+_BODY_ESTIMATE = ESTIMATE.replace("a.sig", "ba.sig").replace("b.sig", "bb.sig")
+_SEMANTIC = "SELECT target, candidate FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sim DESC, candidate) AS rn FROM bs) WHERE rn <= 30"
+_BANDS = f"""{signature_sql(B.BODIES, "sv_id", body_sql("body"), "bsig")}, bk AS (SELECT sv_id, i, signature[i * 8 + 1:i * 8 + 8] AS band FROM bsig, range(16) r(i)),
+bc AS (SELECT DISTINCT a.sv_id AS target, b.sv_id AS candidate FROM bk a JOIN bk b ON a.i = b.i AND a.band = b.band AND a.sv_id <> b.sv_id WHERE a.sv_id % 50 = 0),
+bs AS (SELECT target, candidate, {ESTIMATE} AS sim FROM bc JOIN bsig a ON a.sv_id = target JOIN bsig b ON b.sv_id = candidate)"""
+CANDIDATES = f"h AS {HASHED}, {_BANDS}, c AS ({' UNION '.join(_bucket(k, n) for k, n in (('body_hash', 50), ('ast_hash', 50), ('normalized_ast_hash', 50), ('kind purity_class', 30), ('kind', 20)))} UNION {_GRAM} UNION {_SEMANTIC})"
+
+
+def _bodies(spark, sf_dir):
+    """Classes of symbols whose bodies have one token set, and a MinHash signature per class."""
+    sets = B.bodies(spark, sf_dir).select("sv_id", F.array_sort(F.array_distinct(T.tokenize_body(F.col("body")))).alias("tokens")).where("size(tokens) > 0")
+    keyed = materialise(sets.withColumn("class", F.sha2(F.to_json("tokens"), 256)), "bodies")
+    return keyed.select("sv_id", "class"), materialise(V.min_hash(keyed.groupBy("class").agg(F.min("tokens").alias("tokens")), "class", "tokens"), "signatures")
+
+
+def _candidates(spark, sf_dir, s, bodies):
+    asked = s.where("sv_id % 50 = 0")
+    return H.candidates(asked, s, H.semantic_candidates(asked, *bodies))
 
 
 @query("H1_candidates", f"WITH {CANDIDATES} SELECT target, candidate FROM c")
 def candidates(spark, sf_dir):
-    s = hashed(spark, sf_dir)
-    return H.candidates(s.where("sv_id % 50 = 0"), s)
+    return _candidates(spark, sf_dir, hashed(spark, sf_dir), _bodies(spark, sf_dir))
 
 
 _OVERLAP = f"""coalesce(CASE WHEN pa.sv_id IS NULL OR pb.sv_id IS NULL THEN 0.0 WHEN len(pa.resource_touches) = 0 AND len(pb.resource_touches) = 0 THEN CASE WHEN pa.purity_class = pb.purity_class AND pa.purity_class <> 'pure' THEN 0.3 ELSE 0.0 END ELSE least(1.0, {jaccard_sql('pa.resource_touches', 'pb.resource_touches')} + CASE WHEN pa.purity_class = pb.purity_class THEN 0.2 ELSE 0 END) END, 0.0)::DOUBLE"""
@@ -48,15 +66,15 @@ _CONTRACT = "(" + " + ".join(f"(ca.{n}_contract = cb.{n}_contract)::INT" for n i
 _TESTS = f"least(1.0, 0.3 * (SELECT count(*) FROM a WHERE list_contains(related, x.target) AND list_contains(related, x.candidate)))::DOUBLE"
 _HISTORY = "coalesce((SELECT max(confidence) FROM i WHERE relation_type = 'co_changed_with' AND ((i.src = x.target AND i.dst = x.candidate) OR (i.dst = x.target AND i.src = x.candidate))), 0.0)::DOUBLE"
 DIMS = f"""{CANDIDATES}, p AS {PROFILES}, k AS {B.CONTRACTS}, a AS (SELECT artifact, related FROM {B.ARTIFACTS}), i AS {B.INFERRED},
-d AS (SELECT x.target, x.candidate, {name_sim_sql('ha.name', 'hb.name')} AS semantic, CASE WHEN ha.body_hash = hb.body_hash THEN 1.0 WHEN ha.normalized_ast_hash = hb.normalized_ast_hash THEN 0.9 WHEN ha.ast_hash = hb.ast_hash THEN 0.85 ELSE 0.0 END::DOUBLE AS logic,
+d AS (SELECT x.target, x.candidate, {name_sim_sql('ha.name', 'hb.name')} AS semantic, CASE WHEN ha.body_hash = hb.body_hash THEN 1.0 WHEN ha.normalized_ast_hash = hb.normalized_ast_hash THEN 0.9 WHEN ha.ast_hash = hb.ast_hash THEN 0.85 ELSE coalesce({_BODY_ESTIMATE}, 0.0) END::DOUBLE AS logic,
   {sig_sim_sql('ha.signature', 'hb.signature')} AS signature, {_OVERLAP} AS behavior, {_CONTRACT} AS contract, {_TESTS} AS tests, {_HISTORY} AS history, ha.kind AS kind_a, hb.kind AS kind_b
- FROM c x JOIN h ha ON ha.sv_id = x.target JOIN h hb ON hb.sv_id = x.candidate LEFT JOIN p pa ON pa.sv_id = x.target LEFT JOIN p pb ON pb.sv_id = x.candidate JOIN k ca ON ca.sv_id = x.target JOIN k cb ON cb.sv_id = x.candidate),
+ FROM c x JOIN h ha ON ha.sv_id = x.target JOIN h hb ON hb.sv_id = x.candidate LEFT JOIN p pa ON pa.sv_id = x.target LEFT JOIN p pb ON pb.sv_id = x.candidate JOIN k ca ON ca.sv_id = x.target JOIN k cb ON cb.sv_id = x.candidate LEFT JOIN bsig ba ON ba.sv_id = x.target LEFT JOIN bsig bb ON bb.sv_id = x.candidate),
 t AS (SELECT *, CASE WHEN logic >= 0.85 THEN greatest(3, f) ELSE f END AS families, least(1.0, CASE WHEN logic >= 0.85 THEN greatest(w, 0.85) ELSE w END)::DOUBLE AS total FROM (SELECT *, {' + '.join(f'({c} > 0.1)::INT' for c in H.WEIGHTS)} AS f, {' + '.join(f'{w} * {c}' for c, w in H.WEIGHTS.items())} AS w FROM d))"""
 
 
 def scored(spark, sf_dir):
-    s = hashed(spark, sf_dir)
-    pairs = H.candidates(s.where("sv_id % 50 = 0"), s)
+    s, bodies = hashed(spark, sf_dir), _bodies(spark, sf_dir)
+    pairs = H.body_similarity(_candidates(spark, sf_dir, s, bodies), *bodies)
     artifacts = B.artifacts(spark, sf_dir)
     pairs = H.history(H.test_overlap(pairs, artifacts), B.inferred(spark, sf_dir))
     prof, cont = _profiles(spark, sf_dir), B.contracts(spark, sf_dir)
@@ -66,17 +84,18 @@ def scored(spark, sf_dir):
         pairs = pairs.join(cont.select(F.col("sv_id").alias(key), F.struct(*cont.columns).alias(f"c{t}")), key)
     c = F.col
     return pairs.withColumns({
-        "semantic": T.name_similarity(c("sa.name"), c("sb.name")), "logic": H.logic_similarity("sa", "sb", F.lit(0.0)), "signature": T.signature_similarity(c("sa.signature"), c("sb.signature")),
+        "semantic": T.name_similarity(c("sa.name"), c("sb.name")), "logic": H.logic_similarity("sa", "sb", c("body")), "signature": T.signature_similarity(c("sa.signature"), c("sb.signature")),
         "behavior": H.behavior_overlap(c("pa.resource_touches"), c("pb.resource_touches"), c("pa.purity_class"), c("pb.purity_class")),
         "contract": H.contract_overlap([(c(f"ca.{n}_contract"), c(f"cb.{n}_contract")) for n in _FIELDS]),
     })
 
 
-_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in (*H.WEIGHTS, "total"))
+# Estimates are whole 128ths, so that totals may stand halfway between two numbers of six digits.
+_ROUNDED = ", ".join(f"round({c}, {9 if c == 'total' else 6}) AS {c}" for c in (*H.WEIGHTS, "total"))
 
 
 def _rounded(df, *columns):
-    return df.select(*columns, *[F.round(c, 6).alias(c) for c in (*H.WEIGHTS, "total")])
+    return df.select(*columns, *[F.round(c, 9 if c == "total" else 6).alias(c) for c in (*H.WEIGHTS, "total")])
 
 
 @query("H2_score", f"WITH {DIMS} SELECT target, candidate, families, {_ROUNDED} FROM t")
@@ -108,9 +127,9 @@ def history(spark, sf_dir):
     return H.history(i.select(F.col("dst").alias("target"), F.col("src").alias("candidate")), i)
 
 
-@query("H7_accepted", f"WITH {DIMS} SELECT target, candidate, round(total, 6) AS total FROM t WHERE families >= 2 AND total >= 0.6")
+@query("H7_accepted", f"WITH {DIMS} SELECT target, candidate, round(total, 9) AS total FROM t WHERE families >= 2 AND total >= 0.6")
 def accepted(spark, sf_dir):
-    return H.accepted(H.total_score(scored(spark, sf_dir))).select("target", "candidate", F.round("total", 6).alias("total"))
+    return H.accepted(H.total_score(scored(spark, sf_dir))).select("target", "candidate", F.round("total", 9).alias("total"))
 
 
 _IO = "list_sort(list_concat({0}.db_reads, {0}.db_writes, {0}.network_calls))"
