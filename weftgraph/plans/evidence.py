@@ -78,18 +78,23 @@ def member_calls(spark, sf_dir):
 
 
 def _world(spark, sf_dir):
-    """Parts own fields and calls, those that are methods one of the name "find"; classes of one dozen inherit from its first."""
-    code = B.bodies(spark, sf_dir).withColumn("owner", F.col("sv_id").cast("string"))
-    parents = code.where("sv_id % 12 > 0").select(F.col("owner").alias("class"), (F.col("sv_id") - F.col("sv_id") % 12).cast("string").alias("parent"), F.lit(0).alias("position"))
-    methods = code.where("kind = 'method'").select(F.col("owner").alias("class"), F.lit("find").alias("method"), F.col("sv_id").alias("id"))
-    return code, methods, G.linearise(parents, code.select(F.col("owner").alias("class")))
+    """A class is a dozen of parts, with their fields and calls and, if one is a method, "find"; classes of one gross inherit from
+    its first. Outside the parts stands a class Repository that inherits "find" from a class Store."""
+    first = F.col("sv_id") - F.col("sv_id") % 12
+    code = B.bodies(spark, sf_dir).withColumn("owner", first.cast("string"))
+    classes = code.select(F.col("owner").alias("class"), first.alias("first")).distinct()
+    parents = classes.where("first % 144 > 0").select("class", (F.col("first") - F.col("first") % 144).cast("string").alias("parent"), F.lit(0).alias("position"))
+    parents = parents.unionByName(spark.sql("SELECT 'Repository' AS class, 'Store' AS parent, 0 AS position"))
+    methods = code.where("kind = 'method'").groupBy(F.col("owner").alias("class")).agg(F.lit("find").alias("method"), F.min("sv_id").alias("id"))
+    methods = methods.unionByName(spark.sql("SELECT 'Store' AS class, 'find' AS method, 0L AS id"))
+    return code, methods, G.linearise(parents, classes.select("class").unionByName(spark.sql("SELECT explode(array('Repository', 'Store')) AS class")))
 
 
 @query("D3_chain_resolution")
 def chain_resolution(spark, sf_dir):
-    """Position by position; tests pin chains through fields, own and inherited methods."""
+    """Position by position; tests walk every chain of the table plainly."""
     code, methods, mro = _world(spark, sf_dir)
-    calls = D.member_calls(code).select("caller", F.col("caller").cast("string").alias("owner"), "chain")
+    calls = D.member_calls(code).join(code.select(F.col("sv_id").alias("caller"), "owner"), "caller").select("caller", "owner", "chain")
     return D.resolve_chains(calls, D.points_to(code), methods, mro).withColumn("types", F.array_join("types", ",")).withColumn("targets", F.array_join("targets", ","))
 
 

@@ -19,10 +19,11 @@ def file_walk(spark, sf_dir):
     return D.all_files(spark, sf_dir).where(F.col("size") <= D.MAX_FILE_BYTES).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", F.sha2("content", 256).alias("content_hash"))
 
 
-@query("S2_workspace")
+@query("S2_workspace", f"SELECT 'src/' || lpad(CAST(sv_id AS VARCHAR), 9, '0') AS path, length(body)::INT AS size, language, (SELECT count(*) FROM part) > 20000 AS truncated FROM {B.BODIES} ORDER BY path LIMIT 20000")
 def workspace(spark, sf_dir):
+    """The listing's own limit is 20,000 files."""
     files = B.bodies(spark, sf_dir).select(F.concat(F.lit("src/"), F.lpad(F.col("sv_id").cast("string"), 9, "0")).alias("path"), F.length("body").alias("size"), "language")
-    return D.discover(files, 500)
+    return D.discover(files)
 
 
 _RECORD = "concat(md5(cast(o_orderkey AS STRING)), '00000000', chr(1), 'A', o_custkey, chr(1), CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE concat('a', o_custkey, '@x') END, chr(1), CASE WHEN o_orderkey % 40 = 0 THEN 'never' ELSE '2024-01-02T03:04:05Z' END, chr(1), CASE o_orderkey % 4 WHEN 0 THEN 'Fix it' WHEN 1 THEN 'Merge branch x' ELSE 'Add' END, chr(1), 'src/a', o_orderkey % 9, '.ts', chr(1), 'dist/b.js')"
