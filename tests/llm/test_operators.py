@@ -527,6 +527,99 @@ def test_all_segmentations_come_out_without_replacement():
         assert len(s) >= min(len(law), 3) and sum(math.exp(t.scores.sum()) for t, _ in s) > 0.999
 
 
+def whole_lattice(vocab, log_p, text):
+    """Log of the sum over all segmentations of a text without spaces or line feeds, over all its pieces at once."""
+    known = {vocab.raw[i]: i for i in range(vocab.size) if vocab.rank[i] < vocab.size}
+    data = b"\xff" + text.encode()
+    spelt = {i for i, b in enumerate(data) if b == 0xFF and b"\xff" not in known}
+    place = 1
+    for c in text:
+        spelt |= set() if c.encode() in known else set(range(place, place + len(c.encode())))
+        place += len(c.encode())
+    sums, longest = [0.0], max(map(len, known))
+    for end in range(1, len(data) + 1):
+        ways = [sums[a] + log_p[known[data[a:end]]] for a in range(max(0, end - longest), end) if data[a:end] in known]
+        ways += [sums[end - 1] + log_p[vocab.byte_ids[data[end - 1]]]] if end - 1 in spelt else []
+        top = max(ways, default=-math.inf)
+        sums.append(top + math.log(sum(math.exp(w - top) for w in ways)) if top > -math.inf else top)
+    return sums[-1]
+
+
+LONG_RUNS = ["internationalization" * 4, "x" * 3000, "https://example.org/a/very/long/path/of/words/without?any=space&between=them", "漢字かな交じり文のとても長い一続きの文章です🙂🙂é" * 5, "=" * 41 + "ab" * 300]
+
+
+def test_long_runs_have_the_whole_lattice():
+    """No piece is lost at a cut: the law of a run of over 40 bytes is that over all its segmentations."""
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    log_p = vocab.zipf_log_probabilities()
+    tokens = L.Pretokens(*L.text_buffers(pa.array(LONG_RUNS)), vocab)
+    found = segmentations.sample_block(vocab, log_p, tokens, np.arange(len(LONG_RUNS), dtype=np.uint64), 3)
+    for text, samples in zip(LONG_RUNS, found, strict=True):
+        mass = whole_lattice(vocab, log_p, text)
+        assert len({tuple(t.pieces.tolist()) for t, _ in samples}) == len(samples) == (1 if "漢" in text else 3)
+        for t, _ in samples:
+            assert segmentations.decode(vocab, t.pieces) == text.encode()
+            assert math.isclose(t.scores.sum(), log_p[t.pieces].sum() - mass, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_unknown_characters_are_spelt_beside_known_ones():
+    """A character that is no piece shares its first byte with one that is, in words of a common prefix."""
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    log_p = vocab.zipf_log_probabilities()
+    assert "文".encode() in vocab.raw and "漢".encode() not in vocab.raw
+    tokens = L.Pretokens(*L.text_buffers(pa.array(["文", "漢"])), vocab)
+    trie = L.Trie(vocab, tokens, slice(0, 2))
+    score, count = trie.best(log_p)
+    assert np.isfinite(score).any() and [count[trie.terminal[w]] for w in trie.inverse] == [spell(vocab, log_p, "\xff" + t)[1] for t in ("文", "漢")]
+    for text, samples in zip(("文", "漢"), segmentations.sample_block(vocab, log_p, tokens, np.arange(2, dtype=np.uint64), 2), strict=True):
+        for t, _ in samples:
+            assert segmentations.decode(vocab, t.pieces) == text.encode()
+            assert math.isclose(t.scores.sum(), log_p[t.pieces].sum() - whole_lattice(vocab, log_p, text), abs_tol=1e-6)
+
+
+def test_long_runs_are_drawn_by_the_law():
+    """Of a run without a place that no piece crosses: how often a piece crosses byte 37 in first and in second draws."""
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    flat = np.where(vocab.zipf_log_probabilities() > -np.inf, -2.0, -np.inf)
+    text, n = "x" * 50, 2000
+    known = {vocab.raw[i] for i in range(vocab.size) if vocab.rank[i] < vocab.size} | {b"\xff"}
+    data = b"\xff" + text.encode()
+    ahead, behind = [1.0] + [0.0] * 51, [0.0] * 51 + [1.0]
+    for i in range(1, 52):
+        ahead[i] = sum(ahead[a] * math.exp(-2) for a in range(max(0, i - 25), i) if data[a:i] in known)
+        behind[51 - i] = sum(behind[b] * math.exp(-2) for b in range(52 - i, min(51, 76 - i) + 1) if data[51 - i : b] in known)
+    p = 1 - ahead[37] * behind[37] / ahead[51]
+    assert 0.2 < p < 0.9
+    tokens = L.Pretokens(*L.text_buffers(pa.array([text] * n)), vocab)
+    found = segmentations.sample_block(vocab, flat, tokens, np.random.default_rng(4).integers(0, 2**63, n, dtype=np.uint64), 2)
+    for draw in (0, 1):
+        crossed = [37 not in np.cumsum(vocab.lengths[s[draw][0].pieces]) for s in found]
+        assert abs(np.mean(crossed) - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
+
+
+def test_long_runs_are_counted_and_summed_whole(spark):
+    import pyarrow as pa
+
+    vocab = L.vocabulary(L.default_model())
+    log_p = vocab.zipf_log_probabilities()
+    for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(LONG_RUNS)), "doc_id long, text string")).collect():
+        score, pieces, _ = spell(vocab, log_p, "\xff" + LONG_RUNS[r.doc_id])
+        assert r.n_tokens == pieces and math.isclose(r.log_probability, score, rel_tol=1e-9, abs_tol=1e-5)
+    weights = np.exp(np.stack([log_p, log_p * 0.9], axis=1))
+    tokens = L.Pretokens(*L.text_buffers(pa.array(LONG_RUNS)), vocab)
+    trie = L.Trie(vocab, tokens, slice(0, len(tokens.starts)))
+    ends = trie.log_ends(weights)[trie.inverse]
+    for d, text in enumerate(LONG_RUNS):
+        for k, log_w in enumerate((log_p, log_p * 0.9)):
+            assert math.isclose(ends[tokens.text == d, k].sum(), whole_lattice(vocab, log_w, text), rel_tol=1e-9)
+
+
 # Languages
 
 

@@ -94,10 +94,10 @@ def predict(df: DataFrame, fitted: LanguageModel, key: str = "doc_id", text: str
             n = batch.num_rows
             total = np.zeros((n, max(1, len(names))))
             if names:
-                tokens = L.Pretokens(*L.text_buffers(batch.column(place)))
+                tokens = L.Pretokens(*L.text_buffers(batch.column(place)), vocab)
                 for block in tokens.blocks():
                     trie = L.Trie(vocab, tokens, block)
-                    words = np.log(np.maximum(trie.forward(weights)[trie.terminal], 1e-300)) - SCALE * trie.sizes[:, None]
+                    words = trie.log_ends(weights) - SCALE * trie.sizes[:, None]
                     words = words[trie.inverse]
                     for k in range(len(names)):
                         total[:, k] += np.bincount(tokens.text[block], words[:, k], n)

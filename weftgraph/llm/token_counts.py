@@ -31,7 +31,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", model:
         vocab = L.vocabulary(path)
         scores = vocab.zipf_log_probabilities()
         for batch in L.slices(batches, "text"):
-            tokens = L.Pretokens(*L.text_buffers(batch.column("text")))
+            tokens = L.Pretokens(*L.text_buffers(batch.column("text")), vocab)
             n = batch.num_rows
             counts, scored = np.zeros(n), np.zeros(n)
             for block in tokens.blocks():
