@@ -289,6 +289,23 @@ def test_lines_of_repeated_ids(spark):
     assert {r.doc_id: r.text for r in once} == {1: "a b c d e", 8: "x\n\nq r s t u"} and once[0].asDict().keys() == {"doc_id", "text", "id", "line"}
 
 
+def test_families_with_rare_words_of_their_own_meet_few_pairs(spark, monkeypatch):
+    """Near copies whose rarest words are their own changes: pairs in proportion to the copies, and all but the first go."""
+    usual = [f"usual{i}" for i in range(40)]
+    texts = [(d, " ".join([*usual, *(f"own{d}x{i}" for i in range(4))])) for d in range(120)]
+    texts += [(1000 + i, f"{w} with words{i} beside it") for i, w in enumerate(usual * 3)]
+    met, verified = [], line_dedup.verified
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    got = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_removed} == set(range(1, 120)) and len(got) == len(texts)
+    assert sum(met) <= 12 * 120
+
+
 def test_sets_that_meet_in_one_hash_are_apart(spark):
     """Two hashes with states of their own: where the first is made equal, the second still tells sets apart."""
     sets = spark.createDataFrame([([1, 2, 3, 4],), ([5, 6, 7, 8],)], "tokens array<bigint>")
