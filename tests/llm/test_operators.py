@@ -306,6 +306,20 @@ def test_families_with_rare_words_of_their_own_meet_few_pairs(spark, monkeypatch
     assert sum(met) <= 12 * 120
 
 
+@pytest.mark.parametrize("often", [1, 1000])
+def test_lines_are_whole_whatever_rows_are_sampled(spark, monkeypatch, often):
+    """Words are counted in a few rows only, and the rows that go are those of brute force."""
+    monkeypatch.setattr(line_dedup, "SAMPLE", 5)
+    monkeypatch.setattr(line_dedup, "OFTEN", often)
+    rng = random.Random(3)
+    bases = [words(i, 12, 30) for i in range(8)]
+    rows = [(d, " ".join([*rng.choice(bases)[rng.randrange(2) :], f"own{d}"])) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = sum(g > 0 for g in line_dedup.rarity_grades(df, "doc_id", "text")[0])
+    assert 0 < counted < len({w for _, text in rows for w in text.split()}) / 2
+    assert {(r.id, r.line) for r in line_dedup.line_marks(df).collect() if r.removed} == brute_lines(rows)
+
+
 def test_sets_that_meet_in_one_hash_are_apart(spark):
     """Two hashes with states of their own: where the first is made equal, the second still tells sets apart."""
     sets = spark.createDataFrame([([1, 2, 3, 4],), ([5, 6, 7, 8],)], "tokens array<bigint>")
