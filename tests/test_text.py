@@ -24,6 +24,16 @@ def test_long_literals_do_not_overflow(spark):
     assert one(spark, F.size(T.tokenize_body(F.col("c"))), c="'" + "ab " * 30000 + "' tail") == 1
 
 
+def test_long_texts_are_read_to_their_end(spark):
+    code = "alpha " * 30000 + "omega"
+    for f in (T.tokenize_body, T.tokenize_signature):
+        got = one(spark, f(F.col("c")), c=code)
+        assert len(got) == 30001 and got[-1] == "omega"
+    assert len(one(spark, T.tokenize_name(F.col("c")), c="a_" + "alpha_" * 30000)) == 30000
+    hints = F.array_repeat(F.struct(F.lit("db").alias("hint_type"), F.lit("row").alias("detail")), 1500)
+    assert len(one(spark, T.tokenize_behavior(hints))) == 3000
+
+
 def test_fnv_matches_the_definition(spark):
     h = 2166136261
     for c in "hello":
