@@ -171,3 +171,16 @@ def test_policy_isolates_errors():
         raise RuntimeError("no table\nmore")
 
     assert Z.run_policy({"a": Table, "b": broken, "c": Table}) == [("a", 3, ""), ("b", 0, "no table"), ("c", 3, "")]
+
+
+def test_a_rename_is_found_behind_many_nearer_names(spark):
+    """A renamed symbol with equal hashes counts, however many unlike ones have nearer names; so does a twin in all but hashes."""
+    from weftgraph.operators import lineage
+
+    columns = "sv_id long, name string, kind string, language string, file_path string, signature string, normalized_ast_hash string, ast_hash string, body_hash string, callers array<string>, callees array<string>"
+    row = lambda i, name, h, sig="f(): A", hood=None, path="p": (i, name, "k", "l", path, sig, f"n{h}", f"a{h}", f"b{h}", hood, hood)
+    old = [row(i, f"load{i:03}", i, "g(x: B)") for i in range(250)] + [row(900, "somethingElseWhollyOther", 7000), row(901, "twin", 1, hood=["m"], path="q"), row(902, "itself", 7002)]
+    new = [row(1000, "load999", 7000), row(1001, "twin", 7001, hood=["m"]), row(1002, "itself", 7002)]
+    got = lineage.rename_candidates(spark.createDataFrame(old, columns), spark.createDataFrame(new, columns), ["kind", "language"]).collect()
+    assert {r.new_id: r.old_id for r in got} == {1000: 900, 1001: 901}
+    assert {r.new_id: r.score for r in got}[1001] == 0.45
