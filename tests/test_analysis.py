@@ -184,3 +184,27 @@ def test_a_rename_is_found_behind_many_nearer_names(spark):
     got = lineage.rename_candidates(spark.createDataFrame(old, columns), spark.createDataFrame(new, columns), ["kind", "language"]).collect()
     assert {r.new_id: r.old_id for r in got} == {1000: 900, 1001: 901}
     assert {r.new_id: r.score for r in got}[1001] == 0.45
+
+
+def test_hot_names_offer_their_first_symbols(spark):
+    """Names are compared, not symbols: 4,000 symbols of one name, each a target, are 16 million pairs otherwise."""
+    from weftgraph.operators import homolog
+
+    name = F.when(F.col("id") % 8 == 0, "loadUsers").otherwise("loadUser")
+    rows = spark.range(4000).select(F.col("id").alias("sv_id"), name.alias("name"), *[F.concat(F.lit(c), "id").alias(c) for c in ("kind", "purity_class", "body_hash", "ast_hash", "normalized_ast_hash")])
+    got: dict = {}
+    for r in homolog.candidates(rows, rows).collect():
+        got.setdefault(r.target, set()).add(r.candidate)
+    names = {i: "loadUsers" if i % 8 == 0 else "loadUser" for i in range(4000)}
+    for i in (0, 1, 8, 31, 36, 300, 3999):
+        order = sorted((x for x in names if x != i), key=lambda x: (names[x] != names[i], x))
+        assert got[i] == set(order[:30])
+    assert len(got) == 4000
+
+
+def test_shared_tests_of_a_pair(spark):
+    from weftgraph.operators import homolog
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1)], "target long, candidate long")
+    artifacts = spark.createDataFrame([(i, [1, 2, 2, 9]) for i in range(5)] + [(7, [1, 4])], "artifact long, related array<long>")
+    assert {(r.target, r.candidate): round(r.tests, 6) for r in homolog.test_overlap(pairs, artifacts).collect()} == {(1, 2): 1.0, (1, 3): 0.0, (4, 1): 0.3}
