@@ -69,3 +69,34 @@ def test_blast_radius(spark):
 def test_ladders(spark):
     row = spark.range(1).select(L.rank_of(F.lit("read_write"), L.PURITY).alias("a"), L.rank_of(F.lit("x"), L.PURITY).alias("b"), L.by_rank(F.lit(3), L.SEVERITIES).alias("c")).first()
     assert row.a == 2 and row.b is None and row.c == "critical"
+
+
+def test_chains_outgrow_sparks_recursion(spark):
+    """Spark's recursion ends in an error beyond a number of rows, a million unless set."""
+    rows = spark.range(60).selectExpr("id", "CASE WHEN id % 6 > 0 THEN id - 1 END AS previous")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {tuple(r) for r in G.lineage_chains(rows).collect()}
+        short = {tuple(r) for r in G.lineage_chains(rows, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(i, i - d, d) for i in range(60) for d in range(i % 6 + 1)}
+    assert short == {x for x in got if x[2] < 2}
+
+
+def test_member_relations_of_parts_numbered_like_classes(spark, small, tmp_path):
+    """Parts from 100000 on are no classes, and all relations of a class count."""
+    import duckdb
+
+    from tests.comparing import assert_same
+    from weftgraph.plans import catalogue
+
+    con = duckdb.connect()
+    for name, key in (("nation", None), ("part", "p_partkey"), ("lineitem", "l_partkey")):
+        shifted = f"* REPLACE ({key} + 100000 AS {key})" if key else "*"
+        con.execute(f"COPY (SELECT {shifted} FROM '{small}/{name}.parquet') TO '{tmp_path}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    name = "G12_member_relations"
+    assert_same(spark, str(tmp_path), con, catalogue.QUERIES[name], catalogue.ORACLES[name])
+    per_class = catalogue.QUERIES[name](spark, small.replace("sf0.001", "sf0.01")).groupBy("class_id").count()
+    assert per_class.where("count > 200").count() > 0

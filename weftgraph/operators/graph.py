@@ -220,24 +220,29 @@ def ancestors(hierarchy: DataFrame) -> DataFrame:
     return hierarchy.groupBy("class").agg(F.transform(listed, lambda s: s["parent"]).alias("parents"))
 
 
-def lineage_chains(lineage: DataFrame) -> DataFrame:
-    """(start, id, depth): each lineage and what it came from. `lineage` has id, previous."""
-    spark = lineage.sparkSession
-    text = f"""WITH RECURSIVE c AS (SELECT id AS start, id, previous, 0 AS depth FROM {{t}}
-      UNION ALL SELECT c.start, t.id, t.previous, c.depth + 1 FROM c JOIN {{t}} t ON c.previous = t.id WHERE c.depth < {MAX_CHAIN - 1})
-      SELECT start, id, depth FROM c"""
-    return spark.sql(text, t=lineage)
+def lineage_chains(lineage: DataFrame, most: int = MAX_CHAIN) -> DataFrame:
+    """(start, id, depth): each lineage and what it came from, `most` at most. `lineage` has id, previous. One step per job, as
+    Spark's own recursion ends in an error at a million rows."""
+    known = materialise(lineage.select("id", "previous"), "lineage")
+    front = materialise(known.select(F.col("id").alias("start"), "id", "previous", F.lit(0).alias("depth")), "chain")
+    seen = front
+    for depth in range(1, most):
+        moved = front.where("previous IS NOT NULL").select("start", F.col("previous").alias("id"))
+        front = materialise(moved.join(known, "id").select("start", "id", "previous", F.lit(depth).alias("depth")), "chain")
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+    return seen.select("start", "id", "depth")
 
 
-def member_relations(edges: DataFrame, classes: DataFrame, members: DataFrame, limit: int = 200) -> DataFrame:
+def member_relations(edges: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """Relations of classes that have none of their own, taken from their members. `classes` has id, key;
     `members` id, key, where a member's key starts with its class's and a dot."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
     bare = classes.join(ends, "id", "left_anti").select(F.col("id").alias("class_id"), F.col("key").alias("class_key"))
     owned = R.members_by_prefix(bare, "class_key", members.select("id", "key"), "key").select("class_id", "id")
     rows = R.touching(edges, owned, "id").join(owned.withColumnRenamed("id", "node"), "node")
-    picked = rows.select("class_id", "src", "dst", "relation_type", "confidence").distinct()
-    return R.top_of_each(picked, ["class_id"], [F.desc("confidence"), F.col("src"), F.col("dst"), F.col("relation_type")], limit).drop("rank")
+    return rows.select("class_id", "src", "dst", "relation_type", "confidence").distinct()
 
 
 def explain_pair(edges: DataFrame, inferred: DataFrame, pairs: DataFrame) -> DataFrame:

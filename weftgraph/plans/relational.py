@@ -3,6 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftgraph.operators import graph as G
 from weftgraph.operators import relational as R
 from weftgraph.plans import bindings as B
 from weftgraph.plans.registry import query
@@ -189,8 +190,7 @@ _CHAIN = """SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id
 
 @query("J14_recursive_chain", f"WITH RECURSIVE t AS ({_CHAIN.format(conversations='conversations')}), c AS (SELECT id AS start, id, previous, 0 AS depth FROM t UNION ALL SELECT c.start, t.id, t.previous, depth + 1 FROM c JOIN t ON c.previous = t.id WHERE depth < 100) SELECT start, id, depth FROM c")
 def recursive_chain(spark, sf_dir):
-    text = f"WITH RECURSIVE t AS ({_CHAIN}), c AS (SELECT id AS start, id, previous, 0 AS depth FROM t UNION ALL SELECT c.start, t.id, t.previous, depth + 1 FROM c JOIN t ON c.previous = t.id WHERE depth < 100) SELECT start, id, depth FROM c"
-    return spark.sql(text, conversations=table(spark, sf_dir, "conversations"))
+    return G.lineage_chains(spark.sql(_CHAIN, conversations=table(spark, sf_dir, "conversations")), 101)
 
 
 # Aggregates
