@@ -208,3 +208,17 @@ def test_shared_tests_of_a_pair(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1)], "target long, candidate long")
     artifacts = spark.createDataFrame([(i, [1, 2, 2, 9]) for i in range(5)] + [(7, [1, 4])], "artifact long, related array<long>")
     assert {(r.target, r.candidate): round(r.tests, 6) for r in homolog.test_overlap(pairs, artifacts).collect()} == {(1, 2): 1.0, (1, 3): 0.0, (4, 1): 0.3}
+
+
+def test_equal_bodies_are_scanned_once(spark):
+    """Patterns read distinct contents, which are joined back to each symbol with its own first line."""
+    from weftgraph.sources.tables import by_text
+
+    rows = [(1, "python", "def f():\n    raise ValueError(x)", 10, "function"), (2, "python", "def f():\n    raise ValueError(x)", 20, "class"), (3, None, "def f():\n    raise ValueError(x)", None, "function"), (4, "python", None, 5, "function")]
+    df = spark.createDataFrame(rows, "sv_id int, language string, body string, start_line int, kind string")
+    keyed, texts = by_text(df, "language", "body")
+    assert keyed.count() == 4 and texts.count() == 3
+    got = {(r.sv_id, r.line) for r in E.scan_hints(df).where("hint_type = 'throws'").collect()}
+    assert (1, 11) in got and (2, 21) in got and 4 not in {x for x, _ in got}
+    mined = [C.findings(df.where(f"sv_id = {i}"), C.body_findings(F.col("body"), F.col("language")), ("body", "language")).drop("sv_id").collect() for i in (1, 2)]
+    assert sorted(map(tuple, mined[0])) == sorted(map(tuple, mined[1]))

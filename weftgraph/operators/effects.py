@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import ladders as L
 from weftgraph.rules.effect_patterns import EFFECT_PATTERNS
 from weftgraph.rules.hint_patterns import HINT_PATTERNS, SCRIPT_HINT_PATTERNS
+from weftgraph.sources.tables import by_text, materialise
 
 CACHE_WRITE = "(?i)write|set|put|del|expire|incr|decr|invalidate"
 SCRIPTS = ("typescript", "javascript")
@@ -89,24 +90,28 @@ def from_patterns(symbols: DataFrame) -> DataFrame:
     """Of code by framework patterns: sv_id, body, language, kind. Types and interfaces are left out;
     patterns for all languages don't apply to TypeScript and JavaScript, whose hints are resolved by type."""
     language = F.lower(F.coalesce("language", F.lit("")))
-    code = symbols.where(~F.col("kind").isin("class", "interface", "type_alias")).select("sv_id", language.alias("language"), blank_literals(F.col("body"), language).alias("code"))
+    keyed, texts = by_text(symbols.where(~F.col("kind").isin("class", "interface", "type_alias")).select("sv_id", language.alias("language"), "body"), "language", "body")
+    code = texts.select("_text", "language", blank_literals(F.col("body"), F.col("language")).alias("code"))
     found = []
     for pattern, languages, effects in EFFECT_PATTERNS:
         fits = F.col("language").isin(*languages) if languages else ~F.col("language").isin(*SCRIPTS)
         found.append(F.when(fits & F.col("code").rlike(pattern), F.array(*[_effect(k, F.lit(d)) for k, d in effects])).otherwise(F.array()))
-    return _rows(code, F.concat(*found))
+    each = materialise(code.select("_text", F.inline(F.concat(*found))).distinct(), "effects")
+    return keyed.select("sv_id", "_text").join(each, "_text").select("sv_id", "kind", "descriptor").distinct()
 
 
 def scan_hints(symbols: DataFrame) -> DataFrame:
     """(sv_id, hint_type, detail, line) of each line of code that a hint pattern fits: sv_id, body, language, start_line."""
     language = F.lower(F.coalesce("language", F.lit("")))
-    lines = symbols.select("sv_id", language.alias("language"), F.coalesce("start_line", F.lit(1)).alias("start"), F.posexplode(F.split(blank_literals(F.col("body"), language), "\n")).alias("i", "text"))
+    keyed, texts = by_text(symbols.select("sv_id", language.alias("language"), F.coalesce("start_line", F.lit(1)).alias("start"), "body"), "language", "body")
+    lines = texts.select("_text", "language", F.posexplode(F.split(blank_literals(F.col("body"), F.col("language")), "\n")).alias("i", "text"))
     found = []
     for script, table in ((False, HINT_PATTERNS), (True, SCRIPT_HINT_PATTERNS)):
         for pattern, kind, detail, languages in table:
             fits = F.col("language").isin(*languages) if languages else (F.col("language").isin(*SCRIPTS) if script else ~F.col("language").isin(*SCRIPTS))
             found.append(F.when(fits & F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("hint_type"), F.lit(detail).alias("detail"))))
-    return lines.select("sv_id", F.inline(F.array_compact(F.array(*found))), (F.col("start") + F.col("i")).alias("line"))
+    hits = materialise(lines.select("_text", "i", F.inline(F.array_compact(F.array(*found)))), "hits")
+    return keyed.select("sv_id", "start", "_text").join(hits, "_text").select("sv_id", "hint_type", "detail", (F.col("start") + F.col("i")).alias("line"))
 
 
 def merge(*sources: DataFrame) -> DataFrame:
