@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import graph as G
 from weftgraph.operators import relational as R
+from weftgraph.sources.tables import materialise
 
 # Thresholds and name suffixes.
 EDGE, FALLBACK_EDGE, SPLIT_OVER, DENSITY, OUTLIER, NAMING = 0.40, 0.25, 50, 0.4, 0.5, 0.45
@@ -38,9 +39,10 @@ def suffix_clusters(symbols: DataFrame) -> DataFrame:
     suffix = F.lit(None).cast("string")
     for s in reversed(SUFFIXES):
         suffix = F.when(F.col("name").endswith(s) & (F.length("name") > len(s)), s).otherwise(suffix)
-    rows = symbols.where(F.col("kind").isin("class", "function", "method")).select(F.concat(F.lit("suffix:"), suffix).alias("family"), F.col("sv_id").alias("member")).where("family IS NOT NULL")
-    large = rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family")
-    return rows.join(large, "family").select("family", "member", F.lit(NAMING).alias("confidence"))
+    known = symbols.where(F.col("kind").isin("class", "function", "method")).select("sv_id", "name")
+    names = materialise(known.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "names").select("name", "n", F.concat(F.lit("suffix:"), suffix).alias("family")).where("family IS NOT NULL")
+    large = names.groupBy("family").agg(F.sum("n").alias("n")).where("n > 1").select("family")
+    return known.join(names.join(large, "family").select("name", "family"), "name").select("family", F.col("sv_id").alias("member"), F.lit(NAMING).alias("confidence"))
 
 
 def bisect(nodes: list, weights: dict) -> list[list]:

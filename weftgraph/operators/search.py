@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
+from weftgraph.sources.tables import materialise
 
 TRIGRAM_THRESHOLD = 0.3
 
@@ -18,10 +19,17 @@ def trigram_match(name: Column, query: str) -> tuple[Column, Column]:
     return sim, (sim >= TRIGRAM_THRESHOLD) | F.contains(F.lower(name), F.lit(query.lower()))
 
 
+def distinct_matches(rows: DataFrame, name: str, query: str, out: str) -> DataFrame:
+    """(name, out): the distinct names that match, with their similarity; each name is compared once. Names are written, as
+    the optimiser would test each row before it looks for distinct ones."""
+    sim, fits = trigram_match(F.col(name), query)
+    return materialise(rows.select(name).distinct(), "names").where(fits).select(name, sim.alias(out))
+
+
 def resolve_symbol(symbols: DataFrame, query: str, key: str, limit: int = 10) -> DataFrame:
     """key, name and name_sim of the best matches."""
-    sim, fits = trigram_match(F.col("name"), query)
-    return symbols.where(fits).select(key, "name", sim.alias("name_sim")).orderBy(F.desc("name_sim"), key).limit(limit)
+    found = distinct_matches(symbols, "name", query, "name_sim")
+    return symbols.select(key, "name").join(found, "name").select(key, "name", "name_sim").orderBy(F.desc("name_sim"), key).limit(limit)
 
 
 def ladder_score(query: str, name: Column, stable_key: Column, path: Column, public: Column) -> Column:
@@ -64,12 +72,12 @@ def find_concept(names: DataFrame, families: DataFrame, contracts: DataFrame, co
     A name's trigram similarity comes first, then 0.9 of the family name's, then 0.7 for a contract
     that has the concept; the first source that knows a symbol wins.
     """
-    by_name, named = trigram_match(F.col("name"), concept)
-    by_family, belongs = trigram_match(F.col("family_name"), concept)
+    named = names.select(key, "name").join(distinct_matches(names, "name", concept, "relevance"), "name")
+    belongs = families.select(key, "family_name").join(distinct_matches(families, "family_name", concept, "sim"), "family_name")
     best = lambda df: df.orderBy(F.desc("relevance"), key).limit(limit)
     found = [
-        best(names.where(named).select(key, by_name.alias("relevance"), F.lit("name").alias("match_source"), F.lit(0).alias("turn"))),
-        best(families.where(belongs).groupBy(key).agg(F.max(by_family * 0.9).alias("relevance")).select(key, "relevance", F.lit("concept_family").alias("match_source"), F.lit(1).alias("turn"))),
+        best(named.select(key, "relevance", F.lit("name").alias("match_source"), F.lit(0).alias("turn"))),
+        best(belongs.groupBy(key).agg(F.max(F.col("sim") * 0.9).alias("relevance")).select(key, "relevance", F.lit("concept_family").alias("match_source"), F.lit(1).alias("turn"))),
         best(contracts.where(F.contains(F.lower("text"), F.lit(concept.lower()))).select(key, F.lit(0.7).alias("relevance"), F.lit("contract").alias("match_source"), F.lit(2).alias("turn"))),
     ]
     merged = found[0].union(found[1]).union(found[2]).groupBy(key).agg(F.min_by(F.struct("relevance", "match_source"), "turn").alias("m"))
