@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.effects import blank_literals
 from weftgraph.rules import module_effects as M
+from weftgraph.sources.tables import spread
 
 RECORD = """record string, key string, name string, kind string, visibility string, start_line int, end_line int, signature string, body string, relation_type string, target string,
   input_types array<string>, output_type string, thrown_types array<string>, decorators array<string>"""
@@ -143,7 +144,7 @@ def extract(files: DataFrame) -> DataFrame:
                 rows += [r | {"path": path, "language": language} for r in found]
             yield pd.DataFrame(rows, columns=["path", "language", *_COLUMNS]).astype({"start_line": "Int32", "end_line": "Int32"})
 
-    return files.select("path", "language", "text").mapInPandas(run, f"path string, language string, {RECORD}")
+    return spread(files.select("path", "language", "text"), "path").mapInPandas(run, f"path string, language string, {RECORD}")
 
 
 def symbols(records: DataFrame) -> DataFrame:
